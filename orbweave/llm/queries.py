@@ -9,9 +9,14 @@ from orbweave.llm import url_filter
 from orbweave.llm.chat import chat_digests
 from orbweave.llm.common import table
 from orbweave.llm.exact_dedup import duplicate_groups
+from orbweave.llm.fingerprint import edited_likeness
 from orbweave.llm.mixing import mix_plan
 
 
+def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(table(spark, sf_dir, "documents"))
 
@@ -34,7 +39,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(turns.unionByName(planted))
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op5_mix_sources, op6_url_filter, op7_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_fingerprint, op4_exact_dedup, op5_mix_sources, op6_url_filter, op7_chat_format)}
 
 ORACLE = {
     "op4_exact_dedup": """
