@@ -10,6 +10,7 @@ from orbweave.llm.chat import chat_digests
 from orbweave.llm.common import table
 from orbweave.llm.exact_dedup import duplicate_groups
 from orbweave.llm.fingerprint import edited_likeness
+from orbweave.llm.langid import language_rows
 from orbweave.llm.mixing import mix_plan
 
 
@@ -39,7 +40,13 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(turns.unionByName(planted))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprint, op4_exact_dedup, op5_mix_sources, op6_url_filter, op7_chat_format)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_rows(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_fingerprint, op4_exact_dedup, op5_mix_sources, op6_url_filter, op7_chat_format, op10_language_id,
+)}
 
 ORACLE = {
     "op4_exact_dedup": """
