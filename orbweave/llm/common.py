@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,3 +58,23 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, weight: str, total: int
             .join(groups.filter(~hot), key)
         )
     )
+
+
+def numbers(values: list[int]) -> Column:
+    """A constant array of longs, folded into one literal."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def bounds_at_most(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are at most value, found by halving; 0 for null."""
+    if not bounds:
+        return F.lit(0)
+    marks = numbers(bounds)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(marks, at + s - 1) <= value, at + s).otherwise(at))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that spark.checkpoint.dir names."""
+    cut(spark.range(0))  # makes sure that a folder is set
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import small_batches
+from orbweave.llm.common import bounds_at_most, numbers, small_batches
 from orbweave.llm.textops import PIECE, U, column_bytes, mix, shingles, words
 
 BIN_BITS, STORED_BITS = 9, 4
@@ -143,11 +143,6 @@ def _fingerprint_rows(batches: Iterator) -> Iterator:
         yield out
 
 
-def _numbers(values: list[int]):
-    """A constant array, folded into one literal."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
-
-
 def edited_likeness(docs: DataFrame) -> DataFrame:
     """The rows of op1: fingerprints of each text and of its edited text, and their likeness.
 
@@ -162,19 +157,15 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     count = max(1, min(MAX_RANGES, docs.count() // RANGE_ROWS))
     shares = [i / count for i in range(1, count)]
     bounds = [int(b) for b in sorted(set(rows.approxQuantile("rank", shares, 0.1 / count)))] if shares else []
-    marks = _numbers(bounds or [-(2**63)])
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))] or [F.lit(1)])
-    # how many bounds lie at or under an id, by halving
-    of_range = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(marks, at + s - 1) <= F.col("rank"), at + s).otherwise(at))
-    dealt = rows.withColumn("range", of_range)
+    dealt = rows.withColumn("range", bounds_at_most(F.col("rank"), bounds))
     tops = sorted(tuple(r) for r in dealt.groupBy("range").agg(F.max("rank")).collect())
     highest, above = [0] * (len(bounds) + 2), [0] * (len(bounds) + 2)
     for i, (number, top) in enumerate(tops):
         highest[number], above[number] = top, tops[(i + 1) % len(tops)][0]
     copies = F.array_compact(F.array(
         F.struct(F.col("range"), F.lit(False).alias("halo")),
-        F.when(F.get(_numbers(highest), F.col("range")) == F.col("rank"),
-               F.struct(F.get(_numbers(above), F.col("range")).cast("int").alias("range"), F.lit(True).alias("halo")))))
+        F.when(F.get(numbers(highest), F.col("range")) == F.col("rank"),
+               F.struct(F.get(numbers(above), F.col("range")).cast("int").alias("range"), F.lit(True).alias("halo")))))
     parts = dealt.withColumn("copy", F.explode(copies)).select("copy.range", "copy.halo", "doc_id", "text")
     return (parts.repartition("range").sortWithinPartitions("range", "halo", F.col("doc_id").desc_nulls_last(), "text")
             .mapInArrow(_fingerprint_rows, SCHEMA))

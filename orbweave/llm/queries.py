@@ -13,6 +13,7 @@ from orbweave.llm.fingerprint import edited_likeness
 from orbweave.llm.langid import language_rows
 from orbweave.llm.mixing import mix_plan
 from orbweave.llm.packing import pack
+from orbweave.llm.warc import round_trip
 
 
 def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,13 +46,17 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_rows(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_fingerprint, op4_exact_dedup, op5_mix_sources, op6_url_filter, op7_chat_format, op8_best_fit_packing,
-    op10_language_id,
+    op9_warc, op10_language_id,
 )}
 
 ORACLE = {
