@@ -12,6 +12,7 @@ from orbweave.llm.exact_dedup import duplicate_groups
 from orbweave.llm.fingerprint import edited_likeness
 from orbweave.llm.langid import language_rows
 from orbweave.llm.mixing import mix_plan
+from orbweave.llm.ngram_join import component_rows
 from orbweave.llm.packing import pack
 from orbweave.llm.warc import round_trip
 
@@ -20,6 +21,10 @@ def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return component_rows(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(table(spark, sf_dir, "documents"))
 
@@ -55,11 +60,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_fingerprint, op4_exact_dedup, op5_mix_sources, op6_url_filter, op7_chat_format, op8_best_fit_packing,
+    op1_fingerprint, op2_ngram_join, op4_exact_dedup, op5_mix_sources, op6_url_filter, op7_chat_format, op8_best_fit_packing,
     op9_warc, op10_language_id,
 )}
 
 ORACLE = {
+    "op2_ngram_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+k AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM w WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, k, k + 4), ' ') AS s FROM k),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s AS x JOIN s AS y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+l AS (SELECT a, b FROM b JOIN n AS p ON p.doc_id = a JOIN n AS q ON q.doc_id = b WHERE 100 * c >= 75 * (p.n + q.n - c)),
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.reached = l.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id FROM documents AS d LEFT JOIN n ON d.doc_id = n.doc_id
+JOIN (SELECT doc_id, min(reached) AS c FROM r GROUP BY doc_id) AS m ON m.doc_id = d.doc_id
+""",
     "op4_exact_dedup": """
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
