@@ -14,6 +14,7 @@ from orbweave.llm.langid import language_rows
 from orbweave.llm.mixing import mix_plan
 from orbweave.llm.ngram_join import component_rows
 from orbweave.llm.packing import pack
+from orbweave.llm.substring_dedup import strip_repeats
 from orbweave.llm.warc import round_trip
 
 
@@ -25,6 +26,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return component_rows(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strip_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(table(spark, sf_dir, "documents"))
 
@@ -60,7 +65,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_fingerprint, op2_ngram_join, op4_exact_dedup, op5_mix_sources, op6_url_filter, op7_chat_format, op8_best_fit_packing,
+    op1_fingerprint, op2_ngram_join, op3_suffix_dedup, op4_exact_dedup, op5_mix_sources, op6_url_filter,
+    op7_chat_format, op8_best_fit_packing,
     op9_warc, op10_language_id,
 )}
 
