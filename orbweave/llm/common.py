@@ -78,3 +78,16 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that spark.checkpoint.dir names."""
     cut(spark.range(0))  # makes sure that a folder is set
     return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df as a Parquet table at path, which takes less room than a checkpoint; remove() drops it."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store, through Hadoop's file systems."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

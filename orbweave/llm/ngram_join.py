@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import attach, cut, small_batches
+from orbweave.llm.common import attach, cut, remove, shared_folder, small_batches, written
 from orbweave.llm.textops import U, column_bytes, mix, pieces, shingles, words
 
 #: Similarity of at least NUM / DEN links.
@@ -40,11 +40,11 @@ MOST_COMMON = 1 << 20
 #: Shingles whose holders are counted together by one task, about.
 RANGE_SHINGLES = 1 << 20
 #: Bits of the longest bitmap.
-MOST_BITS = 4096
+MOST_BITS = 16384
 #: Members that are verified against one class in one group.
 STAR = 256
 #: Ids are broadcast up to this many, else joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 500_000
 
 
 # --- which shingles are common -----------------------------------------------------------------
@@ -125,7 +125,7 @@ def common_slots(docs: DataFrame, characters: int) -> tuple[int, np.ndarray]:
 # --- classes and their prefixes ----------------------------------------------------------------
 
 CLASS = "doc_id long, th long, n long, class long, bitmap array<long>"
-PREFIX = "shingle long, class long"
+PREFIX = "shingle long, class long, n long"
 
 
 def _class_of(count: int, runs: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,10 +137,10 @@ def _class_of(count: int, runs: np.ndarray, of: np.ndarray) -> tuple[np.ndarray,
 
 
 def _bitmaps(n: np.ndarray, runs: np.ndarray, of: np.ndarray):
-    """A bitmap of each set, of the power of two bits that its size reaches (64 to MOST_BITS)."""
+    """A bitmap of each set, of the power of two bits that reaches twice its size (64 to MOST_BITS)."""
     import pyarrow as pa
 
-    bits = np.clip(1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), 64, MOST_BITS)
+    bits = np.clip(2 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), 64, MOST_BITS)
     begin = np.cumsum(bits) - bits
     flat = np.zeros(int(bits.sum()), dtype=bool)
     flat[begin[of] + ((mix(runs + U(77)) >> U(40)).astype(np.int64) & (bits[of] - 1))] = True
@@ -161,7 +161,7 @@ def _classes(batches: Iterator) -> Iterator:
 
 
 def _prefixes(batches: Iterator, slot_bits: int, common) -> Iterator:
-    """Texts to (shingle, class): the first shingles of each set, of which a linked set shares one."""
+    """Texts to (shingle, class, n): the first shingles of each set, of which a linked set shares one."""
     import pyarrow as pa
 
     many = common.value
@@ -174,58 +174,47 @@ def _prefixes(batches: Iterator, slot_bits: int, common) -> Iterator:
                 runs = runs[np.lexsort((runs, late, of))]
             size = np.where(n > 0, n - (n * NUM + DEN - 1) // DEN + 1, 0)
             take = np.arange(int(size.sum())) + np.repeat((np.cumsum(n) - n) - (np.cumsum(size) - size), size)
-            yield pa.RecordBatch.from_arrays([pa.array(runs[take].view(np.int64)), pa.array(np.repeat(class_, size))], names=["shingle", "class"])
+            yield pa.RecordBatch.from_arrays([pa.array(runs[take].view(np.int64)), pa.array(np.repeat(class_, size)), pa.array(np.repeat(n, size))], names=["shingle", "class", "n"])
 
 
 # --- exact verification ------------------------------------------------------------------------
 
-def _tokens(batches: Iterator) -> Iterator:
-    """Rows (class, text) to (class, tokens): the sorted shingle hashes of the text."""
-    import pyarrow as pa
-
-    for batch in batches:
-        for first, last, runs, of in _sets(batch.column(1)):
-            offsets = np.searchsorted(of, np.arange(last - first + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.ListArray.from_arrays(pa.array(offsets), pa.array(runs.view(np.int64)))], names=["class", "tokens"])
-
-
 def _linked(batches: Iterator) -> Iterator:
-    """Rows (a, part, is_leader, b, tokens), each leader before its members: the pairs that link."""
+    """Rows (a, part, is_leader, b, text), each leader before its members: the pairs (a, b) that link."""
     import pyarrow as pa
 
     own = np.zeros(0, dtype=U)
     for batch in batches:
         leaders, classes = [], []
-        tokens = batch.column(4)
-        offsets, values = np.asarray(tokens.offsets), np.asarray(tokens.values).view(U)
-        for i, (a, lead, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-            row = values[offsets[i] : offsets[i + 1]]
-            if lead:
-                own = row.copy()
-                continue
-            both = len(np.intersect1d(own, row, assume_unique=True))
-            if DEN * both >= NUM * (len(own) + len(row) - both):
-                leaders.append(a)
-                classes.append(b)
+        names, leads, members = (batch.column(i).to_pylist() for i in (0, 2, 3))
+        for first, last, runs, of in _sets(batch.column(4)):
+            begin = np.searchsorted(of, np.arange(last - first + 1))
+            for i in range(first, last):
+                row = runs[begin[i - first] : begin[i - first + 1]]
+                if leads[i]:
+                    own = row.copy()
+                    continue
+                both = len(np.intersect1d(own, row, assume_unique=True))
+                if DEN * both >= NUM * (len(own) + len(row) - both):
+                    leaders.append(names[i])
+                    classes.append(members[i])
         yield pa.RecordBatch.from_arrays([pa.array(leaders, pa.int64()), pa.array(classes, pa.int64())], names=["a", "b"])
 
 
 def verify(pairs: DataFrame, holders: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that link. holders: (class, th); docs: (th, text).
+    """The pairs (a, b) of classes that link. holders: (class, doc_id, th); docs: (doc_id, th, text).
 
-    Texts of the classes at hand are hashed again; each class's members are dealt by STAR.
+    One text of each class at hand is sent to the groups that need it, and hashed again there; a
+    group is a class a and at most about STAR of the classes it is paired with.
     """
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    wanted = cut(holders.select("class", "th").join(needed, "class"))
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    tokens = cut(docs.join(few, "th").dropDuplicates(["class"]).select("class", "text").mapInArrow(_tokens, "class long, tokens array<long>"))
     sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("parts"))
-    dealt = pairs.join(sizes, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
-    members = dealt.select("a", "part", "b").join(tokens.withColumnRenamed("class", "b"), "b").select("a", "part", F.lit(False).alias("is_leader"), "b", "tokens")
-    leaders = (dealt.select("a", "part").distinct().join(tokens.withColumnRenamed("class", "a"), "a")
-               .select("a", "part", F.lit(True).alias("is_leader"), F.col("a").alias("b"), "tokens"))
-    return cut(members.unionByName(leaders).repartition("a", "part").sortWithinPartitions("a", "part", F.col("is_leader").desc())
-               .mapInArrow(_linked, "a long, b long"))
+    dealt = cut(pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b"))
+    roles = dealt.select("a", "part", F.lit(False).alias("is_leader"), "b").unionAll(dealt.select("a", "part", F.lit(True), "a").distinct())
+    sent = cut(roles.join(holders.select(F.col("class").alias("b"), F.col("doc_id").alias("of"), F.col("th").alias("of_th")), "b"))
+    few = F.broadcast(sent) if sent.count() <= BROADCAST_IDS else sent
+    texts = docs.join(few, (F.col("th") == F.col("of_th")) & F.col("doc_id").eqNullSafe(F.col("of")))
+    return cut(texts.select("a", "part", "is_leader", "b", "text").repartition("a", "part")
+               .sortWithinPartitions("a", "part", F.col("is_leader").desc()).mapInArrow(_linked, "a long, b long"))
 
 
 # --- components --------------------------------------------------------------------------------
@@ -282,25 +271,31 @@ def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     slot_bits, common = common_slots(docs, characters)
     shared = docs.sparkSession.sparkContext.broadcast(common)
     slim = cut(docs.select("doc_id", "th", "text").mapInArrow(_classes, CLASS))
-    holders = cut(slim.filter("n > 0").groupBy("class").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")))
+    holders = cut(slim.filter("n > 0").groupBy("class").agg(
+        F.min(F.struct("doc_id", "th")).alias("one"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")).select("class", "one.doc_id", "one.th", "n", "bitmap"))
 
+    # dealt by shingle once: each class once a shingle, then only shingles of two classes or more
     prefixes = docs.select("text").mapInArrow(partial(_prefixes, slot_bits=slot_bits, common=shared), PREFIX)
+    folder = shared_folder(docs.sparkSession, "ngram-join")
     alike = Window.partitionBy("shingle")
-    held = cut(prefixes.withColumn("lead", F.min("class").over(alike)).withColumn("top", F.max("class").over(alike))
-               .filter("lead <> top").select("shingle", "class", "lead"))
+    held = written(
+        prefixes.repartition("shingle").distinct()
+        .withColumn("lead", F.min("class").over(alike)).withColumn("top", F.max("class").over(alike))
+        .filter("lead <> top").select("shingle", "class", "n", "lead"), f"{folder}/held")
 
     # round one: each class against the one with which it shares most
     counts = held.filter("class <> lead").groupBy("class", "lead").count()
     nearest = counts.groupBy("class").agg(F.max_by("lead", F.struct("count", "lead")).alias("a")).select("a", F.col("class").alias("b"))
     links = verify(cut(promising(nearest, holders)), holders, docs)
-    first = components(links)
+    first = components(links).toDF("class", "root")
+    if first.count() <= BROADCAST_IDS:
+        first = F.broadcast(first)
 
     # round two: what is left between components, in tiles of a shingle and a size band
-    labelled = (held.select("shingle", "class").distinct().join(holders.select("class", "n"), "class")
-                .join(first.toDF("class", "root"), "class", "left").withColumn("root", F.coalesce("root", "class")))
-    labelled = cut(labelled.withColumn("band", F.floor(F.log(DEN / NUM, F.col("n") + 0.01)).cast("int")))
-    mixed = labelled.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("shingle")
-    tiles = cut(labelled.join(mixed, "shingle"))
+    labelled = held.join(first, "class", "left").select("shingle", "class", "n", F.coalesce("root", "class").alias("root"))
+    tiles = written(
+        labelled.withColumn("low", F.min("root").over(alike)).withColumn("high", F.max("root").over(alike)).filter("low <> high")
+        .select("shingle", "class", "n", "root", F.floor(F.log(DEN / NUM, F.col("n") + 0.01)).cast("int").alias("band")), f"{folder}/tiles")
     lower = tiles.select("shingle", F.col("band").alias("tile"), F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
     upper = tiles.select("shingle", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("tile"), "band",
                          F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
@@ -308,7 +303,9 @@ def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             .filter(f"root_a <> root_b and (band > tile or a < b) and n_a * {DEN} >= n_b * {NUM} and n_b * {DEN} >= n_a * {NUM}")
             .select("a", "b").distinct())
     more = verify(cut(promising(left, holders)), holders, docs)
-    return slim.select("doc_id", "th", "n", "class"), components(links.unionByName(more))
+    roots = components(links.unionByName(more))
+    remove(docs.sparkSession, folder)
+    return slim.select("doc_id", "th", "n", "class"), roots
 
 
 def _prepared(docs: DataFrame) -> DataFrame:

@@ -19,7 +19,8 @@ def accepted(findings: DataFrame, directives: DataFrame) -> DataFrame:
     """findings with accepted (boolean) and accept_reason, that of the first directive that applies."""
     offsets = F.create_map(*[x for kind, reach in ACCEPT_OFFSETS.items() for x in (F.lit(kind), F.array(*[F.lit(r) for r in reach]))])
     targets = (directives.filter(F.col("kind").isin(*ACCEPT_OFFSETS)).select(
-        F.col("path").alias("_path"), "ord", "rules", "reason", (F.explode(offsets[F.col("kind")]) + F.col("line")).alias("_line")))
+        F.col("path").alias("_path"), "ord", "rules", "reason", "line", F.explode(offsets[F.col("kind")]).alias("_reach"))
+        .withColumn("_line", F.col("line") + F.col("_reach")).drop("line", "_reach"))
     covers = (F.size("rules") == 0) | F.array_contains("rules", F.col("rule"))
     keys = ["path", "line", "rule"]
     hits = (findings.select(*keys).distinct().join(targets, (F.col("path") == F.col("_path")) & (F.col("line") == F.col("_line")) & covers)
