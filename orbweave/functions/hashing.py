@@ -31,10 +31,9 @@ def _fold(values: Column) -> Column:
 
 
 def byte_values(text: Column) -> Column:
-    """The UTF-8 bytes of a string as an array of longs."""
-    data = F.encode(text, "UTF-8")
-    return F.when(F.octet_length(text) > 0, F.transform(
-        F.sequence(F.lit(1), F.octet_length(text)), lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    """The UTF-8 bytes of a string as an array of longs: each byte is a character of Latin-1."""
+    single = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+    return F.when(F.length(text) > 0, F.transform(F.split(single, ""), lambda c: F.ascii(c).cast("long"))).otherwise(F.array().cast("array<bigint>"))
 
 
 def fnv1a_hex(text: Column) -> Column:
@@ -54,7 +53,9 @@ def finding_fingerprint(*parts: Column) -> Column:
     return fnv1a_hex(F.concat_ws("|", *[p.cast("string") for p in parts]))
 
 
-def fnv1a_bucket(code_points: Column, buckets: int) -> Column:
-    """FNV-1a 64 over whole code points (not bytes), modulo a number of buckets."""
-    state = _fold(code_points)
-    return F.transform(F.array(state), lambda s: F.pmod(F.pmod(s["high"], F.lit(buckets)) * ((1 << 32) % buckets) + s["low"], F.lit(buckets)))[0]
+def fnv1a_bucket(code_points: list[Column], buckets: int) -> Column:
+    """FNV-1a 64 over whole code points (not bytes; null ends them), modulo a number of buckets."""
+    state = F.struct(F.lit(BASIS_HIGH).cast("long").alias("high"), F.lit(BASIS_LOW).cast("long").alias("low"))
+    for point in code_points:
+        state = F.when(point.isNull(), state).otherwise(_step(state, point))
+    return F.pmod(F.pmod(state["high"], F.lit(buckets)) * ((1 << 32) % buckets) + state["low"], F.lit(buckets))

@@ -23,9 +23,17 @@ def mean_pool(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.select(key, F.posexplode(vector).alias("position", "x")).groupBy(key, "position").agg(F.avg(F.col("x").cast("double")).alias("mean"))
 
 
-def ngram_buckets(text: Column, n: int = 3, buckets: int = 128) -> Column:
-    """The bucket of each n-gram of characters of a text, in order; a shorter text is one n-gram."""
+def ngrams(text: Column, n: int = 3) -> Column:
+    """The code points of each n-gram of characters, as structs c0, c1, ...; a shorter text is one n-gram
+    whose last points are null, and an empty one has none."""
     points = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
-    chars = F.filter(points, lambda p: p.isNotNull())
-    return F.when(F.length(text) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(chars) - n + 1, F.lit(1))), lambda i: fnv1a_bucket(F.slice(chars, i, F.lit(n)), buckets)))
+    # an array of one binds the points to a name, so that they are not computed anew for each n-gram
+    return F.when(F.length(text) > 0, F.transform(F.array(points), lambda p: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size(p) - n, F.lit(0))),
+        lambda i: F.struct(*[F.get(p, i + k).alias(f"c{k}") for k in range(n)])))[0])
+
+
+def ngram_buckets(rows: DataFrame, key: str, text: str, buckets: int = 128) -> DataFrame:
+    """(key, bucket), one row for each three-letter sequence; hashing runs in generated code."""
+    grams = rows.select(key, F.explode(ngrams(F.col(text), 3)).alias("g")).select(key, "g.*")
+    return grams.select(key, fnv1a_bucket([F.col("c0"), F.col("c1"), F.col("c2")], buckets).alias("bucket"))

@@ -299,7 +299,7 @@ def snippet_lookup(spark, sf_dir):
 
 def ngram_embedding(spark, sf_dir):
     """Histogram of hashed three-letter sequences over whole texts, one row a bucket."""
-    buckets = table(spark, sf_dir, "documents").select("doc_id", F.explode(vectors.ngram_buckets(F.col("text"))).alias("bucket"))
+    buckets = vectors.ngram_buckets(table(spark, sf_dir, "documents"), "doc_id", "text")
     return buckets.groupBy("doc_id", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
