@@ -8,10 +8,11 @@ made of rare ones. Classes that share one are compared inside tiles of a shingle
 There, hashed bitmaps bound the overlap from above: each bit of one bitmap that the other lacks is a
 shingle not shared. Only pairs that pass are verified, by intersecting sorted arrays of hashes.
 
-It goes in two rounds. First each class is verified against the one earlier class with which it
-shares most prefix shingles, which joins groups of copies without looking at all their pairs; then
-all remaining candidates between different components are verified. Components spread along
-verified links by joins until no label changes.
+It goes in rounds. First each class is verified against the one earlier class with which it shares
+most prefix shingles, and in crowded tiles against one other class in each of a few rounds more, which
+joins groups of copies without looking at all their pairs; then all remaining candidates between
+different components are verified. Components spread along verified links by joins until no label
+changes.
 
 Defined results: words are compared with A-Z in lower case; a text of one to four words is one
 shingle; null and empty texts have none and are linked with nothing; a null doc_id is no smallest
@@ -41,6 +42,8 @@ MOST_COMMON = 1 << 20
 RANGE_SHINGLES = 1 << 20
 #: Bits of the longest bitmap.
 MOST_BITS = 16384
+#: Tiles of more classes than CROWD get up to ROUNDS rounds of one partner for each class.
+CROWD, ROUNDS = 12, 6
 #: Members that are verified against one class in one group.
 STAR = 256
 #: Ids are broadcast up to this many, else joined by a shuffle.
@@ -263,6 +266,27 @@ def promising(pairs: DataFrame, holders: DataFrame) -> DataFrame:
     return sized.filter(f"n_a * {DEN} >= n_b * {NUM} and n_b * {DEN} >= n_a * {NUM}").filter(_bound_holds("map_a", "map_b", "n_a", "n_b")).select("a", "b")
 
 
+def _band():
+    return F.floor(F.log(DEN / NUM, F.col("n") + 0.01)).cast("int").alias("band")
+
+
+def _labelled(held: DataFrame, first: DataFrame) -> DataFrame:
+    """held (shingle, class, n) with the root of each class and the band of its size."""
+    few = F.broadcast(first) if first.count() <= BROADCAST_IDS else first
+    return held.join(few, "class", "left").select(
+        "shingle", "class", "n", F.coalesce("root", "class").alias("root"), _band())
+
+
+def _merged(first: DataFrame, links: DataFrame) -> DataFrame:
+    """first (class, root) after more links (a, b); classes that are alone are not in first."""
+    of = lambda c: first.select(F.col("class").alias(c), F.col("root").alias(f"root_{c}"))
+    between = (links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+               .select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+    moved = components(between)
+    known = first.unionByName(moved.select(F.col("node").alias("class"), F.col("node").alias("root")).join(first, "class", "left_anti"))
+    return cut(known.join(moved.toDF("root", "to"), "root", "left").select("class", F.coalesce("to", "root").alias("root")))
+
+
 def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, roots) of docs (doc_id, th, text), th being a hash of the text: (doc_id, th, n, class)
     of each row, and (node, root) of the classes that link with another one."""
@@ -286,24 +310,33 @@ def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # round one: each class against the one with which it shares most
     counts = held.filter("class <> lead").groupBy("class", "lead").count()
     nearest = counts.groupBy("class").agg(F.max_by("lead", F.struct("count", "lead")).alias("a")).select("a", F.col("class").alias("b"))
-    links = verify(cut(promising(nearest, holders)), holders, docs)
-    first = components(links).toDF("class", "root")
-    if first.count() <= BROADCAST_IDS:
-        first = F.broadcast(first)
-
-    # round two: what is left between components, in tiles of a shingle and a size band
-    labelled = held.join(first, "class", "left").select("shingle", "class", "n", F.coalesce("root", "class").alias("root"))
+    first = components(verify(cut(promising(nearest, holders)), holders, docs)).toDF("class", "root")
+
+    # more such rounds inside crowded tiles, where all pairs would be many: another lead each time
+    alone = Window.partitionBy("shingle", "band")
+    banded = held.select("shingle", "class", "n", _band())
+    busy = written(banded.withColumn("many", F.count(F.lit(1)).over(alone)).filter(F.col("many") > CROWD).drop("many", "band"), f"{folder}/crowded")
+    for number in range(ROUNDS):
+        crowded = (_labelled(busy, first)
+                   .withColumn("lead", F.min(F.struct(F.xxhash64("class", F.lit(number)).alias("h"), "class", "root")).over(alone))
+                   .filter("lead.root <> root").groupBy("class", F.col("lead.class").alias("a")).count())
+        pairs = cut(crowded.groupBy("class").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", F.col("class").alias("b")))
+        found = verify(cut(promising(pairs, holders)), holders, docs)
+        if found.isEmpty():
+            break
+        first = _merged(first, found)
+
+    # last round: what is left between components, in tiles of a shingle and a size band
     tiles = written(
-        labelled.withColumn("low", F.min("root").over(alike)).withColumn("high", F.max("root").over(alike)).filter("low <> high")
-        .select("shingle", "class", "n", "root", F.floor(F.log(DEN / NUM, F.col("n") + 0.01)).cast("int").alias("band")), f"{folder}/tiles")
+        _labelled(held, first).withColumn("low", F.min("root").over(alike)).withColumn("high", F.max("root").over(alike)).filter("low <> high")
+        .select("shingle", "class", "n", "root", "band"), f"{folder}/tiles")
     lower = tiles.select("shingle", F.col("band").alias("tile"), F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
     upper = tiles.select("shingle", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("tile"), "band",
                          F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
     left = (lower.join(upper, ["shingle", "tile"])
             .filter(f"root_a <> root_b and (band > tile or a < b) and n_a * {DEN} >= n_b * {NUM} and n_b * {DEN} >= n_a * {NUM}")
             .select("a", "b").distinct())
-    more = verify(cut(promising(left, holders)), holders, docs)
-    roots = components(links.unionByName(more))
+    roots = _merged(first, verify(cut(promising(left, holders)), holders, docs)).toDF("node", "root")
     remove(docs.sparkSession, folder)
     return slim.select("doc_id", "th", "n", "class"), roots
 
