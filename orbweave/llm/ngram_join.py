@@ -9,9 +9,9 @@ There, hashed bitmaps bound the overlap from above: each bit of one bitmap that
 shingle not shared. Only pairs that pass are verified, by intersecting sorted arrays of hashes.
 
 It goes in rounds. First each class is verified against the one earlier class with which it shares
-most prefix shingles, and in crowded tiles against one other class in each of a few rounds more, which
-joins groups of copies without looking at all their pairs; then all remaining candidates between
-different components are verified. Components spread along verified links by joins until no label
+most prefix shingles, then in crowded tiles against a few others chosen by a hash, which joins groups
+of copies without looking at all their pairs; then all remaining candidates between different
+components are verified. Components spread along verified links by joins until no label
 changes.
 
 Defined results: words are compared with A-Z in lower case; a text of one to four words is one
@@ -42,8 +42,8 @@ MOST_COMMON = 1 << 20
 RANGE_SHINGLES = 1 << 20
 #: Bits of the longest bitmap.
 MOST_BITS = 16384
-#: Tiles of more classes than CROWD get up to ROUNDS rounds of one partner for each class.
-CROWD, ROUNDS = 12, 6
+#: In tiles of more classes than CROWD each class is tried with LEADS others first.
+CROWD, LEADS = 12, 6
 #: Members that are verified against one class in one group.
 STAR = 256
 #: Ids are broadcast up to this many, else joined by a shuffle.
@@ -312,19 +312,13 @@ def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nearest = counts.groupBy("class").agg(F.max_by("lead", F.struct("count", "lead")).alias("a")).select("a", F.col("class").alias("b"))
     first = components(verify(cut(promising(nearest, holders)), holders, docs)).toDF("class", "root")
 
-    # more such rounds inside crowded tiles, where all pairs would be many: another lead each time
+    # round two: each class of a crowded tile against LEADS others of it, so that all pairs are few later
     alone = Window.partitionBy("shingle", "band")
-    banded = held.select("shingle", "class", "n", _band())
-    busy = written(banded.withColumn("many", F.count(F.lit(1)).over(alone)).filter(F.col("many") > CROWD).drop("many", "band"), f"{folder}/crowded")
-    for number in range(ROUNDS):
-        crowded = (_labelled(busy, first)
-                   .withColumn("lead", F.min(F.struct(F.xxhash64("class", F.lit(number)).alias("h"), "class", "root")).over(alone))
-                   .filter("lead.root <> root").groupBy("class", F.col("lead.class").alias("a")).count())
-        pairs = cut(crowded.groupBy("class").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", F.col("class").alias("b")))
-        found = verify(cut(promising(pairs, holders)), holders, docs)
-        if found.isEmpty():
-            break
-        first = _merged(first, found)
+    leads = F.array(*[F.min(F.struct(F.xxhash64("class", F.lit(k)).alias("h"), "class", "root")).over(alone) for k in range(LEADS)])
+    crowded = (_labelled(held, first).withColumn("many", F.count(F.lit(1)).over(alone)).withColumn("leads", leads).filter(F.col("many") > CROWD)
+               .select("class", "root", F.explode("leads").alias("lead")).filter("lead.root <> root")
+               .select(F.col("lead.class").alias("a"), F.col("class").alias("b")).distinct())
+    first = _merged(first, verify(cut(promising(crowded, holders)), holders, docs))
 
     # last round: what is left between components, in tiles of a shingle and a size band
     tiles = written(
