@@ -204,8 +204,8 @@ def _linked(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array(leaders, pa.int64()), pa.array(classes, pa.int64())], names=["a", "b"])
 
 
-def verify(pairs: DataFrame, holders: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that link. holders: (class, doc_id, th); docs: (doc_id, th, text).
+def verify(pairs: DataFrame, holders: DataFrame, docs: DataFrame, folder: str) -> DataFrame:
+    """The pairs (a, b) of classes that link, written below folder. holders: (class, doc_id, th); docs: (doc_id, th, text).
 
     One text of each class at hand is sent to the groups that need it, and hashed again there; a
     group is a class a and at most about STAR of the classes it is paired with.
@@ -216,8 +216,8 @@ def verify(pairs: DataFrame, holders: DataFrame, docs: DataFrame) -> DataFrame:
     sent = cut(roles.join(holders.select(F.col("class").alias("b"), F.col("doc_id").alias("of"), F.col("th").alias("of_th")), "b"))
     few = F.broadcast(sent) if sent.count() <= BROADCAST_IDS else sent
     texts = docs.join(few, (F.col("th") == F.col("of_th")) & F.col("doc_id").eqNullSafe(F.col("of")))
-    return cut(texts.select("a", "part", "is_leader", "b", "text").repartition("a", "part")
-               .sortWithinPartitions("a", "part", F.col("is_leader").desc()).mapInArrow(_linked, "a long, b long"))
+    return written(texts.select("a", "part", "is_leader", "b", "text").repartition("a", "part")
+                   .sortWithinPartitions("a", "part", F.col("is_leader").desc()).mapInArrow(_linked, "a long, b long"), f"{folder}/links")
 
 
 # --- components --------------------------------------------------------------------------------
@@ -234,8 +234,8 @@ def components(links: DataFrame) -> DataFrame:
         both = links.union(links.select("b", "a")).toDF("node", "other")
         parents = cut(both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("parent")))
         while True:
-            up = parents.toDF("parent", "above")
-            jumped = cut(parents.join(up, "parent").select("node", F.col("above").alias("parent"), (F.col("above") != F.col("parent")).alias("moved")))
+            up, top = parents.toDF("parent", "above"), parents.toDF("above", "top")
+            jumped = cut(parents.join(up, "parent").join(top, "above").select("node", F.col("top").alias("parent"), (F.col("top") != F.col("parent")).alias("moved")))
             parents = jumped.select("node", "parent")
             if not jumped.filter("moved").limit(1).count():
                 break
@@ -259,11 +259,12 @@ def _bound_holds(x: str, y: str, nx: str, ny: str) -> str:
     return f"least({nx} - {only(x, y)}, {ny} - {only(y, x)}) * {NUM + DEN} >= {NUM} * ({nx} + {ny})"
 
 
-def promising(pairs: DataFrame, holders: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sizes and bitmaps allow a link."""
+def promising(pairs: DataFrame, holders: DataFrame, folder: str) -> DataFrame:
+    """The pairs (a, b) of classes whose sizes and bitmaps allow a link, written below folder."""
     side = lambda name: holders.select(F.col("class").alias(name), F.col("n").alias(f"n_{name}"), F.col("bitmap").alias(f"map_{name}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b")
-    return sized.filter(f"n_a * {DEN} >= n_b * {NUM} and n_b * {DEN} >= n_a * {NUM}").filter(_bound_holds("map_a", "map_b", "n_a", "n_b")).select("a", "b")
+    allowed = sized.filter(f"n_a * {DEN} >= n_b * {NUM} and n_b * {DEN} >= n_a * {NUM}").filter(_bound_holds("map_a", "map_b", "n_a", "n_b"))
+    return written(allowed.select("a", "b"), f"{folder}/promising")
 
 
 def _band():
@@ -294,13 +295,15 @@ def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     characters = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     slot_bits, common = common_slots(docs, characters)
     shared = docs.sparkSession.sparkContext.broadcast(common)
-    slim = cut(docs.select("doc_id", "th", "text").mapInArrow(_classes, CLASS))
+    folder = shared_folder(docs.sparkSession, "ngram-join")
+    # checkpoint() would compute what Python makes twice; the rows stay in the shared folder, as they are returned
+    slim = written(docs.select("doc_id", "th", "text").mapInArrow(_classes, CLASS), f"{folder}-rows")
     holders = cut(slim.filter("n > 0").groupBy("class").agg(
         F.min(F.struct("doc_id", "th")).alias("one"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")).select("class", "one.doc_id", "one.th", "n", "bitmap"))
 
     # dealt by shingle once: each class once a shingle, then only shingles of two classes or more
     prefixes = docs.select("text").mapInArrow(partial(_prefixes, slot_bits=slot_bits, common=shared), PREFIX)
-    folder = shared_folder(docs.sparkSession, "ngram-join")
+    linked = lambda pairs, name: verify(promising(pairs, holders, f"{folder}/{name}"), holders, docs, f"{folder}/{name}")
     alike = Window.partitionBy("shingle")
     held = written(
         prefixes.repartition("shingle").distinct()
@@ -310,7 +313,7 @@ def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # round one: each class against the one with which it shares most
     counts = held.filter("class <> lead").groupBy("class", "lead").count()
     nearest = counts.groupBy("class").agg(F.max_by("lead", F.struct("count", "lead")).alias("a")).select("a", F.col("class").alias("b"))
-    first = components(verify(cut(promising(nearest, holders)), holders, docs)).toDF("class", "root")
+    first = components(linked(nearest, "nearest")).toDF("class", "root")
 
     # round two: each class of a crowded tile against LEADS others of it, so that all pairs are few later
     alone = Window.partitionBy("shingle", "band")
@@ -318,7 +321,7 @@ def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     crowded = (_labelled(held, first).withColumn("many", F.count(F.lit(1)).over(alone)).withColumn("leads", leads).filter(F.col("many") > CROWD)
                .select("class", "root", F.explode("leads").alias("lead")).filter("lead.root <> root")
                .select(F.col("lead.class").alias("a"), F.col("class").alias("b")).distinct())
-    first = _merged(first, verify(cut(promising(crowded, holders)), holders, docs))
+    first = _merged(first, linked(crowded, "crowded"))
 
     # last round: what is left between components, in tiles of a shingle and a size band
     tiles = written(
@@ -330,7 +333,7 @@ def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     left = (lower.join(upper, ["shingle", "tile"])
             .filter(f"root_a <> root_b and (band > tile or a < b) and n_a * {DEN} >= n_b * {NUM} and n_b * {DEN} >= n_a * {NUM}")
             .select("a", "b").distinct())
-    roots = _merged(first, verify(cut(promising(left, holders)), holders, docs)).toDF("node", "root")
+    roots = _merged(first, linked(left, "left")).toDF("node", "root")
     remove(docs.sparkSession, folder)
     return slim.select("doc_id", "th", "n", "class"), roots
 
