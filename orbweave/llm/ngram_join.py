@@ -226,11 +226,11 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links (a, b): root is the same all over a component.
 
     Every round hangs each node that has a smaller neighbour under the smallest one, follows these
-    parents up by doubling, and contracts the links; what is left are links between fewer roots.
+    parents up in growing leaps, and contracts the links; what is left are links between fewer roots.
     """
     links = cut(links.filter("a <> b").select("a", "b").distinct())
     labels = cut(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")))
-    while total := links.count():
+    while not links.isEmpty():
         both = links.union(links.select("b", "a")).toDF("node", "other")
         parents = cut(both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("parent")))
         while True:
@@ -239,10 +239,9 @@ def components(links: DataFrame) -> DataFrame:
             parents = jumped.select("node", "parent")
             if not jumped.filter("moved").limit(1).count():
                 break
-        weights = both.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-        sized = parents.join(weights, "node")
-        left = attach(links.toDF("node", "b"), sized, "node", "n", 2 * total).select(F.col("parent").alias("a"), F.col("b").alias("node"))
-        links = cut(attach(left, sized, "node", "n", 2 * total).select("a", F.col("parent").alias("b")).filter("a <> b").distinct())
+        # plain joins of two shuffles: where a node has many links Spark splits its partition
+        left = links.join(parents.toDF("a", "pa"), "a").select("pa", "b")
+        links = cut(left.join(parents.toDF("b", "pb"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")).filter("a <> b").distinct())
         labels = cut(labels.join(parents.toDF("root", "parent"), "root", "left").select("node", F.coalesce("parent", "root").alias("root")))
     return labels
 
