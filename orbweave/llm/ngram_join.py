@@ -5,7 +5,8 @@ similarity of at least 3/4 must share a shingle of their prefixes, the first qua
 one order of all shingles; the order puts shingles that many documents hold last, so prefixes are
 made of rare ones. Classes that share one are compared inside tiles of a shingle and a size band
 (sizes of linked sets differ by a factor of 4/3 at most, so a class meets its own band and the next).
-There, hashed bitmaps bound the overlap from above: each bit of one bitmap that the other lacks is a
+There, the place of the shared shingle in both orders bounds the overlap, as if it were the first one
+shared: what is shared stands from there on. Then hashed bitmaps bound the overlap from above: each bit of one bitmap that the other lacks is a
 shingle not shared. Only pairs that pass are verified, by intersecting sorted arrays of hashes.
 
 It goes in rounds. First each class is verified against the one earlier class with which it shares
@@ -47,7 +48,7 @@ CROWD, LEADS = 12, 6
 #: Members that are verified against one class in one group.
 STAR = 256
 #: Ids are broadcast up to this many, else joined by a shuffle.
-BROADCAST_IDS = 500_000
+BROADCAST_IDS = 50_000
 
 
 # --- which shingles are common -----------------------------------------------------------------
@@ -128,7 +129,7 @@ def common_slots(docs: DataFrame, characters: int) -> tuple[int, np.ndarray]:
 # --- classes and their prefixes ----------------------------------------------------------------
 
 CLASS = "doc_id long, th long, n long, class long, bitmap array<long>"
-PREFIX = "shingle long, class long, n long"
+PREFIX = "shingle long, class long, n long, pos long"
 
 
 def _class_of(count: int, runs: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +165,7 @@ def _classes(batches: Iterator) -> Iterator:
 
 
 def _prefixes(batches: Iterator, slot_bits: int, common) -> Iterator:
-    """Texts to (shingle, class, n): the first shingles of each set, of which a linked set shares one."""
+    """Texts to PREFIX: the first shingles of each set, of which a linked set shares one, and their places from 0."""
     import pyarrow as pa
 
     many = common.value
@@ -176,8 +177,10 @@ def _prefixes(batches: Iterator, slot_bits: int, common) -> Iterator:
                 late = many[np.minimum(np.searchsorted(many, slot), len(many) - 1)] == slot
                 runs = runs[np.lexsort((runs, late, of))]
             size = np.where(n > 0, n - (n * NUM + DEN - 1) // DEN + 1, 0)
-            take = np.arange(int(size.sum())) + np.repeat((np.cumsum(n) - n) - (np.cumsum(size) - size), size)
-            yield pa.RecordBatch.from_arrays([pa.array(runs[take].view(np.int64)), pa.array(np.repeat(class_, size)), pa.array(np.repeat(n, size))], names=["shingle", "class", "n"])
+            pos = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            take = pos + np.repeat(np.cumsum(n) - n, size)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(runs[take].view(np.int64)), pa.array(np.repeat(class_, size)), pa.array(np.repeat(n, size)), pa.array(pos)], names=[c.split()[0] for c in PREFIX.split(", ")])
 
 
 # --- exact verification ------------------------------------------------------------------------
@@ -266,6 +269,14 @@ def promising(pairs: DataFrame, holders: DataFrame, folder: str) -> DataFrame:
     return written(allowed.select("a", "b"), f"{folder}/promising")
 
 
+def _can_start(na: str, pa: str, nb: str, pb: str) -> str:
+    """Whether a shingle at places pa and pb can be the first one that two linked sets share.
+
+    All that they share then stands from there on in both, and has to be enough for their sizes.
+    """
+    return f"(least({na} - {pa}, {nb} - {pb}) * {NUM + DEN} >= {NUM} * ({na} + {nb}))"
+
+
 def _band():
     return F.floor(F.log(DEN / NUM, F.col("n") + 0.01)).cast("int").alias("band")
 
@@ -274,7 +285,7 @@ def _labelled(held: DataFrame, first: DataFrame) -> DataFrame:
     """held (shingle, class, n) with the root of each class and the band of its size."""
     few = F.broadcast(first) if first.count() <= BROADCAST_IDS else first
     return held.join(few, "class", "left").select(
-        "shingle", "class", "n", F.coalesce("root", "class").alias("root"), _band())
+        "shingle", "class", "n", "pos", F.coalesce("root", "class").alias("root"), _band())
 
 
 def _merged(first: DataFrame, links: DataFrame) -> DataFrame:
@@ -307,7 +318,7 @@ def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     held = written(
         prefixes.repartition("shingle").distinct()
         .withColumn("lead", F.min("class").over(alike)).withColumn("top", F.max("class").over(alike))
-        .filter("lead <> top").select("shingle", "class", "n", "lead"), f"{folder}/held")
+        .filter("lead <> top").select("shingle", "class", "n", "pos", "lead"), f"{folder}/held")
 
     # round one: each class against the one with which it shares most
     counts = held.filter("class <> lead").groupBy("class", "lead").count()
@@ -316,22 +327,24 @@ def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # round two: each class of a crowded tile against LEADS others of it, so that all pairs are few later
     alone = Window.partitionBy("shingle", "band")
-    leads = F.array(*[F.min(F.struct(F.xxhash64("class", F.lit(k)).alias("h"), "class", "root")).over(alone) for k in range(LEADS)])
+    leads = F.array(*[F.min(F.struct(F.xxhash64("class", F.lit(k)).alias("h"), "class", "root", "n", "pos")).over(alone) for k in range(LEADS)])
     crowded = (_labelled(held, first).withColumn("many", F.count(F.lit(1)).over(alone)).withColumn("leads", leads).filter(F.col("many") > CROWD)
-               .select("class", "root", F.explode("leads").alias("lead")).filter("lead.root <> root")
+               .select("class", "root", "n", "pos", F.explode("leads").alias("lead")).filter("lead.root <> root").filter(_can_start("lead.n", "lead.pos", "n", "pos"))
                .select(F.col("lead.class").alias("a"), F.col("class").alias("b")).distinct())
     first = _merged(first, linked(crowded, "crowded"))
 
-    # last round: what is left between components, in tiles of a shingle and a size band
+    # last round: what is left between components, in tiles of a shingle and a size band. Of the component
+    # that most holders of a shingle are in, members meet others only, so that a large one is not paired with itself
     tiles = written(
         _labelled(held, first).withColumn("low", F.min("root").over(alike)).withColumn("high", F.max("root").over(alike)).filter("low <> high")
-        .select("shingle", "class", "n", "root", "band"), f"{folder}/tiles")
-    lower = tiles.select("shingle", F.col("band").alias("tile"), F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    upper = tiles.select("shingle", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("tile"), "band",
-                         F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    left = (lower.join(upper, ["shingle", "tile"])
-            .filter(f"root_a <> root_b and (band > tile or a < b) and n_a * {DEN} >= n_b * {NUM} and n_b * {DEN} >= n_a * {NUM}")
-            .select("a", "b").distinct())
+        .withColumn("main", F.col("root") == F.mode("root").over(alike)).select("shingle", "class", "n", "pos", "root", "band", "main"), f"{folder}/tiles")
+    lower = tiles.select("shingle", F.col("band").alias("tile"), F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("root").alias("root_a"), "main")
+    upper = tiles.select("shingle", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("tile"), "band", F.col("class").alias("b"),
+                         F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("root").alias("root_b"), F.col("main").alias("main_b"))
+    meet = lambda x, y: (x.join(y, ["shingle", "tile"])
+                         .filter(f"root_a <> root_b and (band > tile or a < b) and n_a * {DEN} >= n_b * {NUM} and n_b * {DEN} >= n_a * {NUM}")
+                         .filter(_can_start("n_a", "pos_a", "n_b", "pos_b")).select("a", "b"))
+    left = meet(lower, upper.filter("not main_b")).unionAll(meet(lower.filter("not main"), upper.filter("main_b"))).distinct()
     roots = _merged(first, linked(left, "left")).toDF("node", "root")
     remove(docs.sparkSession, folder)
     return slim.select("doc_id", "th", "n", "class"), roots
