@@ -317,11 +317,11 @@ def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     alike = Window.partitionBy("shingle")
     held = written(
         prefixes.repartition("shingle").distinct()
-        .withColumn("lead", F.min("class").over(alike)).withColumn("top", F.max("class").over(alike))
-        .filter("lead <> top").select("shingle", "class", "n", "pos", "lead"), f"{folder}/held")
+        .withColumn("lead", F.min(F.struct("class", "n", "pos")).over(alike)).withColumn("top", F.max("class").over(alike))
+        .filter("lead.class <> top").select("shingle", "class", "n", "pos", "lead"), f"{folder}/held")
 
-    # round one: each class against the one with which it shares most
-    counts = held.filter("class <> lead").groupBy("class", "lead").count()
+    # round one: each class against the one with which it shares most, of those it can link with
+    counts = held.filter("class <> lead.class").filter(_can_start("n", "pos", "lead.n", "lead.pos")).groupBy("class", F.col("lead.class").alias("lead")).count()
     nearest = counts.groupBy("class").agg(F.max_by("lead", F.struct("count", "lead")).alias("a")).select("a", F.col("class").alias("b"))
     first = components(linked(nearest, "nearest")).toDF("class", "root")
 
