@@ -135,3 +135,5 @@ SELECT label, CAST(k - 1 AS INTEGER) AS position, round(avg(embedding[k]::DOUBLE
 SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type IN ('signup', 'click', 'purchase'))
 WHERE n = 1 AND event_type <> 'signup'""",
 }
+
+ORACLE["doc_state_stream"] = ORACLE["doc_state_latest"]

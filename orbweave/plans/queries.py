@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -328,6 +330,21 @@ def doc_state_latest(spark, sf_dir):
     return last.filter("e.kind = 'change'").select("user_id", "e.event_id", "e.value")
 
 
+def doc_state_stream(spark, sf_dir):
+    """doc_state_latest by a stream that keeps the latest event of each user and logs what changed."""
+    from orbweave.operators.graph import keep
+    from orbweave.streaming.doc_state import current, follow
+
+    keep(spark.range(0))  # makes sure that a shared folder is set
+    folder = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/doc-state-{uuid.uuid4().hex}"
+    path = f"{sf_dir}/events.parquet"
+    kind = F.when(F.col("event_type") == "signup", "close").when(F.col("event_type").isin("click", "purchase"), "change")
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).withColumn("kind", kind).filter("kind is not null")
+    key, order, values = "user_id", ["ts", "event_id"], ["kind", "value"]
+    follow(events, key, order, values, f"{folder}/log", f"{folder}/progress").awaitTermination()
+    return current(spark, f"{folder}/log", key, order, values).filter("kind = 'change'").select("user_id", "event_id", "value")
+
+
 def report_json(spark, sf_dir):
     from orbweave.operators.report import finding_json
 
@@ -339,5 +356,5 @@ QUERIES = {f.__name__: f for f in (
     suppression_region, suppression_full, fingerprint_bytes, fingerprint_finding, baseline_kept, baseline_matched, cache_probe, ownership_edges,
     unresolved_refs, first_edge_per_pair, scc_components, shortest_cycle_len, mutual_cycles, external_expansion, mutual_pairs, strongest_capture,
     upstream_class, upstream_resolve, contract_first_match, local_escape, innermost_interval, nearest_within, stale_rows, summary_counts, max_severity,
-    bounded_chain, directive_scan, fact_udtf, snippet_lookup, ngram_embedding, cosine_pairs, mean_pool, leader_clusters, doc_state_latest, report_json,
+    bounded_chain, directive_scan, fact_udtf, snippet_lookup, ngram_embedding, cosine_pairs, mean_pool, leader_clusters, doc_state_latest, doc_state_stream, report_json,
 )}
