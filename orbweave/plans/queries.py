@@ -339,7 +339,9 @@ def doc_state_stream(spark, sf_dir):
     folder = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/doc-state-{uuid.uuid4().hex}"
     path = f"{sf_dir}/events.parquet"
     kind = F.when(F.col("event_type") == "signup", "close").when(F.col("event_type").isin("click", "purchase"), "change")
-    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).withColumn("kind", kind).filter("kind is not null")
+    # a stream reads a folder or a pattern, and the table may be one file
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/event[s].parquet")
+    events = stream.withColumn("kind", kind).filter("kind is not null")
     key, order, values = "user_id", ["ts", "event_id"], ["kind", "value"]
     follow(events, key, order, values, f"{folder}/log", f"{folder}/progress").awaitTermination()
     return current(spark, f"{folder}/log", key, order, values).filter("kind = 'change'").select("user_id", "event_id", "value")
