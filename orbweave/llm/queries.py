@@ -40,7 +40,7 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return url_filter.judge(url_filter.dated_captures(pages), url_filter.derived_list(pages), "2024-12-31")
+    return url_filter.judge(url_filter.dated_captures(pages), url_filter.derived_list(pages))
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

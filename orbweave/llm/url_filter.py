@@ -43,13 +43,15 @@ def intervals(entries: DataFrame) -> DataFrame:
     )
 
 
-def judge(captures: DataFrame, entries: DataFrame, last_day: str) -> DataFrame:
+def judge(captures: DataFrame, entries: DataFrame, last_day: str | None = None) -> DataFrame:
     """captures (page_id, url, day) with host, rule, rule_list, rule_since and blocked.
 
-    last_day bounds the months to which an interval without an end is dealt.
+    An interval without an end is dealt to all months up to the last capture's, or last_day's if that is later.
     """
     month = lambda c: F.date_trunc("month", c).cast("date")
-    end = F.least(F.coalesce(F.date_sub("until", 1), F.lit(last_day).cast("date")), F.lit(last_day).cast("date"))
+    newest = captures.agg(F.max(F.to_date("day"))).first()[0]
+    last = F.greatest(F.lit(last_day).cast("date"), F.lit(newest).cast("date"))  # nulls are skipped
+    end = F.least(F.date_sub("until", 1), last)
     valid = intervals(entries).filter(F.col("since") <= end).select(
         "pattern", "list", "since", "until",
         F.explode(F.sequence(month(F.col("since")), month(end), F.expr("interval 1 month"))).alias("valid_month"))
