@@ -3,13 +3,15 @@
 The model is fitted from labelled rows: character n-grams of words, hashed, counted by language
 (naive Bayes), and the languages that use each script. At most about SAMPLE documents of a language
 are counted, chosen by a hash of their id. A word's score for a language is the sum of its n-grams'
-log probabilities; languages that do not use the word's script are ruled out. The labels of a text
+log probabilities; languages that do not use the word's script are ruled out, and a word in a script
+that no language uses is no evidence: its letters count for none. The labels of a text
 maximise the sum of scores less a penalty for every switch of language; long texts are solved in
 segments for every entry state at once, which gives the same labels.
 
-Defined results: only letters count; null text, or text without a letter, is `und` with score 0;
-so is every text where no row has a label; the prediction is the language with the most letters,
-ties by name; its score is its share of letters; repeated rows get equal predictions; rows with
+Defined results: only letters in a script of the model's languages count; null text, or text without
+such a letter, is `und` with score 0; so is every text where no labelled row has a letter (keep_identified
+then keeps all documents); the prediction is the language with the most letters, ties by name; its score is
+its share of the letters that count; repeated rows get equal predictions; rows with
 a null id are neither held out nor learned from; an empty table gives an empty result.
 """
 
@@ -121,7 +123,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
         part = counts[counts.kind == kind]
         into[part.key.to_numpy(), part.lang.to_numpy()] = part.n.to_numpy()
     table = np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * len(table)))
-    return Model(languages, table.astype(np.float32), letters >= SCRIPT_SHARE * letters.sum(axis=0))
+    return Model(languages, table.astype(np.float32), (letters > 0) & (letters >= SCRIPT_SHARE * letters.sum(axis=0)))
 
 
 class Scorer:
@@ -197,7 +199,7 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float = SWITCH) ->
         enter[at] = state[own] = came[at, state[own]]
     best = np.where(np.arange(states)[None] == enter[:, None], 0.0, -np.inf)
     stays = np.zeros((len(going), len(text), states), dtype=bool)
-    source = np.zeros((len(going), len(text)), dtype=np.int8)
+    source = np.zeros((len(going), len(text)), dtype=np.int32)
     for step, live in enumerate(going):
         source[step, :live] = best[:live].argmax(axis=-1)
         best[:live], stays[step, :live] = advance(best, step, live)
@@ -211,7 +213,7 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float = SWITCH) ->
 
 
 def label_texts(texts: list, scorer: Scorer):
-    """How many words each text has, and the length and the label of every word."""
+    """How many words each text has, and the length that counts and the label of every word."""
     counts, flat = [], []
     for text in texts:
         found = LETTERS.findall((text or "").lower())
@@ -219,7 +221,10 @@ def label_texts(texts: list, scorer: Scorer):
         counts.append(len(found))
     counts = np.array(counts, dtype=np.int64)
     lengths = np.fromiter(map(len, flat), dtype=np.int64, count=len(flat))
-    labels = viterbi(scorer(flat), counts) if flat else np.zeros(0, dtype=np.int64)
+    labels = np.zeros(0, dtype=np.int64)
+    if flat:
+        lengths = lengths * scorer.model.uses[scripts(flat)].any(axis=1)
+        labels = viterbi(scorer(flat), counts)
     return counts, lengths, labels
 
 
@@ -277,13 +282,16 @@ def _keep_rows(batches: Iterator, model, at: int, least: float) -> Iterator:
 
 
 def spans_of(text: str, model: Model) -> list[tuple[int, int, str]]:
-    """(start, end, language) of the maximal spans of a text; labels cover letters."""
+    """(start, end, language) of the maximal spans of a text; labels cover letters that count."""
     words = [(m.start(), m.end()) for m in LETTERS.finditer(text)]
     if not words or not model.languages:
         return []
-    labels = viterbi(Scorer(model)([text[a:b].lower() for a, b in words]), np.array([len(words)]))
+    lowered = [text[a:b].lower() for a, b in words]
+    labels = viterbi(Scorer(model)(lowered), np.array([len(words)]))
     spans: list[tuple[int, int, str]] = []
-    for (a, b), k in zip(words, labels, strict=True):
+    for (a, b), k, known in zip(words, labels, model.uses[scripts(lowered)].any(axis=1), strict=True):
+        if not known:
+            continue
         if spans and spans[-1][2] == model.languages[k]:
             spans[-1] = (spans[-1][0], b, spans[-1][2])
         else:
@@ -305,6 +313,9 @@ def language_rows(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """The rows of docs in a language of the model: those without letters go, and those of which no
-    language has the least share of letters. All columns stay."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id")))))
+    language has the least share of letters. All columns stay. Without a labelled letter all documents stay."""
+    fitted = fit(docs.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id"))))
+    if not fitted.uses.any():
+        return docs
+    model = docs.sparkSession.sparkContext.broadcast(fitted)
     return docs.mapInArrow(partial(_keep_rows, model=model, at=docs.columns.index("text"), least=least), docs.schema)
