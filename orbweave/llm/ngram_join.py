@@ -1,19 +1,21 @@
 """N-gram Jaccard join: prefix candidates, size bands, bitmap bounds, exact sorted-array overlap.
 
 Documents with equal shingle sets are one class, so copies are never compared. Two classes with
-similarity of at least 3/4 must share a shingle of their prefixes, the first quarter of each set in
-one order of all shingles; the order puts shingles that many documents hold last, so prefixes are
-made of rare ones. Classes that share one are compared inside tiles of a shingle and a size band
-(sizes of linked sets differ by a factor of 4/3 at most, so a class meets its own band and the next).
-There, the place of the shared shingle in both orders bounds the overlap, as if it were the first one
-shared: what is shared stands from there on. Then hashed bitmaps bound the overlap from above: each bit of one bitmap that the other lacks is a
-shingle not shared. Only pairs that pass are verified, by intersecting sorted arrays of hashes.
-
-It goes in rounds. First each class is verified against the one earlier class with which it shares
-most prefix shingles, then in crowded tiles against a few others chosen by a hash, which joins groups
-of copies without looking at all their pairs; then all remaining candidates between different
-components are verified. Components spread along verified links by joins until no label
-changes.
+similarity of at least 3/4 must share a shingle of their prefixes: of the larger set the first quarter,
+of the smaller one the first seventh, in one order of all shingles. The order puts shingles that many
+documents hold last, so prefixes are made of rare ones. Classes that share one are compared inside tiles
+of a shingle and a size band (sizes of linked sets differ by a factor of 4/3 at most, so a class meets
+its own band and the next). There, the place of the shared shingle in both orders bounds the overlap, as
+if it were the first one shared: what is shared stands from there on. Then hashed bitmaps bound the
+overlap from above: each bit of one bitmap that the other lacks is a shingle not shared. Only pairs that
+pass are verified, by intersecting sorted arrays of hashes.
+
+It goes in two rounds. First each class is verified against the few with which it shares most prefix
+shingles, among those that stand before it by size in its tiles; that joins groups of copies without
+looking at all their pairs. Then all remaining candidates between different components are verified, so
+no link between components is lost. Holders of a shingle that very many have stand in two of its groups
+in the first round, by two hashes of their class, so no group is large and yet all hang together.
+Components contract along verified links by joins until no link is left between two of them.
 
 Defined results: words are compared with A-Z in lower case; a text of one to four words is one
 shingle; null and empty texts have none and are linked with nothing; a null doc_id is no smallest
@@ -30,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import attach, cut, remove, shared_folder, small_batches, written
+from orbweave.llm.common import remove, shared_folder, small_batches, written
 from orbweave.llm.textops import U, column_bytes, mix, pieces, shingles, words
 
 #: Similarity of at least NUM / DEN links.
@@ -43,8 +45,12 @@ MOST_COMMON = 1 << 20
 RANGE_SHINGLES = 1 << 20
 #: Bits of the longest bitmap.
 MOST_BITS = 16384
-#: In tiles of more classes than CROWD each class is tried with LEADS others first.
-CROWD, LEADS = 12, 6
+#: Holders of a shingle that stand before one by size and are counted as its partners in round one ...
+NEAR = 8
+#: ... of which so many, those with most shingles in common, are verified.
+TRIED = 3
+#: Holders of a shingle that stand in one group of round one, about.
+GROUP = 4096
 #: Members that are verified against one class in one group.
 STAR = 256
 #: Ids are broadcast up to this many, else joined by a shuffle.
@@ -80,8 +86,18 @@ def _sets(batch_column) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield first, last, runs, of
 
 
+def _fresh(classes: np.ndarray, seen: set) -> np.ndarray:
+    """Which classes this task meets for the first time; seen grows by 8 bytes for each class of the task."""
+    out = np.zeros(len(classes), dtype=bool)
+    for i, c in enumerate(classes.tolist()):
+        if c not in seen:
+            seen.add(c)
+            out[i] = True
+    return out
+
+
 def _slots(batches: Iterator, slot_bits: int, range_bits: int) -> Iterator:
-    """Texts to (range, gaps): the slots of all shingles, once for each document that has them."""
+    """Texts to (range, gaps): the slots of all shingles, once for each class that has them (and each task)."""
     import pyarrow as pa
 
     def flush():
@@ -92,9 +108,11 @@ def _slots(batches: Iterator, slot_bits: int, range_bits: int) -> Iterator:
         return pa.RecordBatch.from_arrays(
             [pa.array(ranges[cuts].astype(np.int64)), pa.array([_encode_gaps(p) for p in np.split(low, cuts[1:])], pa.binary())], names=["range", "gaps"])
 
-    held, size = [], 0
+    held, size, seen = [], 0, set()
     for batch in batches:
-        for _, _, runs, _ in _sets(batch.column(0)):
+        for first, last, runs, of in _sets(batch.column(0)):
+            _, class_ = _class_of(last - first, runs, of)
+            runs = runs[_fresh(class_, seen)[of]]
             held.append((runs >> U(64 - slot_bits)).astype(np.int64))
             size += len(runs)
             if size > 4_000_000:
@@ -104,39 +122,44 @@ def _slots(batches: Iterator, slot_bits: int, range_bits: int) -> Iterator:
         yield flush()
 
 
-def common_slots(docs: DataFrame, characters: int) -> tuple[int, np.ndarray]:
-    """(slot bits, sorted slots of common shingles): MOST_COMMON numbers at most."""
+def common_slots(docs: DataFrame, total: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(slot bits, sorted slots of common shingles, how many hold them): MOST_COMMON numbers at most.
+
+    total: the sizes of all sets.
+    """
     import pyarrow as pa
 
-    guess = max(1, characters // 5)  # shingles, about
-    slot_bits = min(40, max(20, (guess * 2).bit_length()))
-    range_bits = max(0, min(slot_bits - 10, (guess // RANGE_SHINGLES).bit_length()))
+    slot_bits = min(40, max(20, (total * 2).bit_length()))
+    range_bits = max(0, min(slot_bits - 10, (total // RANGE_SHINGLES).bit_length()))
     width = 1 << (slot_bits - range_bits)
-    common = max(COMMON, guess // MOST_COMMON + 1)
+    common = max(COMMON, total // MOST_COMMON + 1)
 
     def count(key, table):
         held = np.zeros(width, dtype=np.int64)
         for gaps in table.column("gaps").to_pylist():
             held += np.bincount(_decode_gaps(gaps), minlength=width)
         slot = np.flatnonzero(held >= common)
-        return pa.table({"slot": pa.array(slot + key[0].as_py() * width, pa.int64())})
+        return pa.table({"slots": pa.array([(slot + key[0].as_py() * width).tobytes()], pa.binary()), "held": pa.array([held[slot].tobytes()], pa.binary())})
 
     blobs = docs.select("text").mapInArrow(partial(_slots, slot_bits=slot_bits, range_bits=range_bits), "range long, gaps binary")
-    found = blobs.groupBy("range").applyInArrow(count, "slot long").toPandas().slot.to_numpy()
-    return slot_bits, np.sort(found.astype(np.int64))
+    found = blobs.groupBy("range").applyInArrow(count, "slots binary, held binary").filter("octet_length(slots) > 0").collect()
+    slots, held = (np.frombuffer(b"".join(bytes(r[k]) for r in found), dtype=np.int64) for k in (0, 1))
+    order = np.argsort(slots)
+    return slot_bits, slots[order], held[order]
 
 
 # --- classes and their prefixes ----------------------------------------------------------------
 
 CLASS = "doc_id long, th long, n long, class long, bitmap array<long>"
-PREFIX = "shingle long, class long, n long, pos long"
+PREFIX = "shingle long, salt long, class long, n long, pos long"
 
 
 def _class_of(count: int, runs: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Size and class (a hash of the whole set, whatever its order) of each text."""
     n = np.bincount(of, minlength=count)
-    total = np.zeros(count, dtype=U)
-    np.add.at(total, of, mix(runs))
+    sums = np.concatenate((np.zeros(1, dtype=U), np.cumsum(mix(runs), dtype=U)))
+    ends = np.cumsum(n)
+    total = sums[ends] - sums[ends - n]
     return n, mix(total ^ (n.astype(U) * U(0x9E3779B97F4A7C15))).view(np.int64)
 
 
@@ -165,22 +188,38 @@ def _classes(batches: Iterator) -> Iterator:
 
 
 def _prefixes(batches: Iterator, slot_bits: int, common) -> Iterator:
-    """Texts to PREFIX: the first shingles of each set, of which a linked set shares one, and their places from 0."""
+    """Texts to PREFIX: the first shingles of each set, of which a linked set shares one, and their places from 0.
+
+    Each task gives a class once. Holders of a very common shingle come twice, with an even and an odd salt from 2 on.
+    """
     import pyarrow as pa
 
-    many = common.value
+    many, held = common.value
+    seen: set = set()
     for batch in batches:
         for first, last, runs, of in _sets(batch.column(0)):
             n, class_ = _class_of(last - first, runs, of)
+            fresh = _fresh(class_, seen)
+            late = holders = np.zeros(len(runs), dtype=np.int64)
             if len(many):
                 slot = (runs >> U(64 - slot_bits)).astype(np.int64)
-                late = many[np.minimum(np.searchsorted(many, slot), len(many) - 1)] == slot
-                runs = runs[np.lexsort((runs, late, of))]
-            size = np.where(n > 0, n - (n * NUM + DEN - 1) // DEN + 1, 0)
+                at = np.minimum(np.searchsorted(many, slot), len(many) - 1)
+                late = many[at] == slot
+                holders = np.where(late, held[at], 0)
+                order = np.lexsort((runs, late, of))
+                runs, holders = runs[order], holders[order]
+            size = np.where(fresh & (n > 0), n - (n * NUM + DEN - 1) // DEN + 1, 0)
             pos = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
             take = pos + np.repeat(np.cumsum(n) - n, size)
+            shingle, class_, n, groups = runs[take].view(np.int64), np.repeat(class_, size), np.repeat(n, size), holders[take] // GROUP + 1
+            hot = np.flatnonzero(groups > 1)
+            salt = np.zeros(len(take), dtype=np.int64)
+            own = mix(class_[hot].view(U))
+            salt[hot] = 2 + 2 * ((own >> U(33)).astype(np.int64) % groups[hot])
+            again = 3 + 2 * ((own & U(0x7FFFFFFF)).astype(np.int64) % groups[hot])
+            both = lambda x: pa.array(np.concatenate((x, x[hot])))  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays(
-                [pa.array(runs[take].view(np.int64)), pa.array(np.repeat(class_, size)), pa.array(np.repeat(n, size)), pa.array(pos)], names=[c.split()[0] for c in PREFIX.split(", ")])
+                [both(shingle), pa.array(np.concatenate((salt, again))), both(class_), both(n), both(pos)], names=[c.split()[0] for c in PREFIX.split(", ")])
 
 
 # --- exact verification ------------------------------------------------------------------------
@@ -207,46 +246,52 @@ def _linked(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array(leaders, pa.int64()), pa.array(classes, pa.int64())], names=["a", "b"])
 
 
-def verify(pairs: DataFrame, holders: DataFrame, docs: DataFrame, folder: str) -> DataFrame:
-    """The pairs (a, b) of classes that link, written below folder. holders: (class, doc_id, th); docs: (doc_id, th, text).
+def verify(pairs: DataFrame, holders: DataFrame, docs: DataFrame, path: str) -> DataFrame:
+    """The pairs (a, b) of classes that link, written at path. holders: (class, doc_id, th); docs: (doc_id, th, text).
 
     One text of each class at hand is sent to the groups that need it, and hashed again there; a
     group is a class a and at most about STAR of the classes it is paired with.
     """
     sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("parts"))
-    dealt = cut(pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b"))
-    roles = dealt.select("a", "part", F.lit(False).alias("is_leader"), "b").unionAll(dealt.select("a", "part", F.lit(True), "a").distinct())
-    sent = cut(roles.join(holders.select(F.col("class").alias("b"), F.col("doc_id").alias("of"), F.col("th").alias("of_th")), "b"))
-    few = F.broadcast(sent) if sent.count() <= BROADCAST_IDS else sent
+    role = lambda leads, c: F.struct(F.lit(leads).alias("is_leader"), F.col(c).alias("class"))
+    roles = (pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.explode(F.array(role(True, "a"), role(False, "b"))).alias("role"))
+             .select("a", "part", "role.*").distinct())
+    sent = roles.join(holders.select("class", F.col("doc_id").alias("of"), F.col("th").alias("of_th")), "class")
+    few = F.broadcast(sent) if 2 * pairs.count() <= BROADCAST_IDS else sent
     texts = docs.join(few, (F.col("th") == F.col("of_th")) & F.col("doc_id").eqNullSafe(F.col("of")))
-    return written(texts.select("a", "part", "is_leader", "b", "text").repartition("a", "part")
-                   .sortWithinPartitions("a", "part", F.col("is_leader").desc()).mapInArrow(_linked, "a long, b long"), f"{folder}/links")
+    return written(texts.select("a", "part", "is_leader", F.col("class").alias("b"), "text").repartition("a", "part")
+                   .sortWithinPartitions("a", "part", F.col("is_leader").desc()).mapInArrow(_linked, "a long, b long"), path)
 
 
 # --- components --------------------------------------------------------------------------------
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of links (a, b): root is the same all over a component.
+def components(links: DataFrame, folder: str) -> DataFrame:
+    """(node, root) for every node of links (a, b), root being the same all over a component; written below folder.
 
-    Every round hangs each node that has a smaller neighbour under the smallest one, follows these
-    parents up in growing leaps, and contracts the links; what is left are links between fewer roots.
+    Every round hangs each node that has a smaller neighbour under the smallest one, takes it to
+    that one's own parent, and contracts the links; what is left are links between fewer nodes.
     """
-    links = cut(links.filter("a <> b").select("a", "b").distinct())
-    labels = cut(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")))
-    while not links.isEmpty():
-        both = links.union(links.select("b", "a")).toDF("node", "other")
-        parents = cut(both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("parent")))
-        while True:
-            up, top = parents.toDF("parent", "above"), parents.toDF("above", "top")
-            jumped = cut(parents.join(up, "parent").join(top, "above").select("node", F.col("top").alias("parent"), (F.col("top") != F.col("parent")).alias("moved")))
-            parents = jumped.select("node", "parent")
-            if not jumped.filter("moved").limit(1).count():
-                break
-        # plain joins of two shuffles: where a node has many links Spark splits its partition
-        left = links.join(parents.toDF("a", "pa"), "a").select("pa", "b")
-        links = cut(left.join(parents.toDF("b", "pb"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")).filter("a <> b").distinct())
-        labels = cut(labels.join(parents.toDF("root", "parent"), "root", "left").select("node", F.coalesce("parent", "root").alias("root")))
-    return labels
+    links, rounds = links.filter("a <> b"), []
+    while True:
+        at = f"{folder}/{len(rounds)}"
+        both = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("x"))
+        parents = both.groupBy("x.node").agg(F.min("x.other").alias("other")).select("node", F.least("node", "other").alias("parent"))
+        step = written(parents.join(parents.toDF("parent", "top"), "parent").select("node", F.col("top").alias("parent")), f"{at}/step")
+        rounds.append(step)
+        links = written(
+            links.join(step.toDF("a", "pa"), "a").join(step.toDF("b", "pb"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+            .filter("a <> b").distinct(), f"{at}/links")
+        if links.isEmpty():
+            break
+    labels = rounds[0].toDF("node", "root")
+    for step in rounds[1:]:
+        labels = labels.join(step.toDF("root", "parent"), "root", "left").select("node", F.coalesce("parent", "root").alias("root"))
+    return labels if len(rounds) == 1 else written(labels, f"{folder}/labels")
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it is small enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 # --- the join ----------------------------------------------------------------------------------
@@ -261,12 +306,16 @@ def _bound_holds(x: str, y: str, nx: str, ny: str) -> str:
     return f"least({nx} - {only(x, y)}, {ny} - {only(y, x)}) * {NUM + DEN} >= {NUM} * ({nx} + {ny})"
 
 
-def promising(pairs: DataFrame, holders: DataFrame, folder: str) -> DataFrame:
-    """The pairs (a, b) of classes whose sizes and bitmaps allow a link, written below folder."""
+def promising(pairs: DataFrame, holders: DataFrame, path: str) -> DataFrame:
+    """The pairs (a, b) of classes whose sizes and bitmaps allow a link, written at path."""
     side = lambda name: holders.select(F.col("class").alias(name), F.col("n").alias(f"n_{name}"), F.col("bitmap").alias(f"map_{name}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b")
-    allowed = sized.filter(f"n_a * {DEN} >= n_b * {NUM} and n_b * {DEN} >= n_a * {NUM}").filter(_bound_holds("map_a", "map_b", "n_a", "n_b"))
-    return written(allowed.select("a", "b"), f"{folder}/promising")
+    allowed = sized.filter(_sizes_allow("n_a", "n_b")).filter(_bound_holds("map_a", "map_b", "n_a", "n_b"))
+    return written(allowed.select("a", "b"), path)
+
+
+def _sizes_allow(na: str, nb: str) -> str:
+    return f"({na} * {DEN} >= {nb} * {NUM} and {nb} * {DEN} >= {na} * {NUM})"
 
 
 def _can_start(na: str, pa: str, nb: str, pb: str) -> str:
@@ -277,77 +326,81 @@ def _can_start(na: str, pa: str, nb: str, pb: str) -> str:
     return f"(least({na} - {pa}, {nb} - {pb}) * {NUM + DEN} >= {NUM} * ({na} + {nb}))"
 
 
-def _band():
-    return F.floor(F.log(DEN / NUM, F.col("n") + 0.01)).cast("int").alias("band")
+#: Whether a shingle can be the first one that a set shares with a linked set that is no smaller.
+STARTS = _can_start("n", "pos", "n", "pos")
 
 
-def _labelled(held: DataFrame, first: DataFrame) -> DataFrame:
-    """held (shingle, class, n) with the root of each class and the band of its size."""
-    few = F.broadcast(first) if first.count() <= BROADCAST_IDS else first
-    return held.join(few, "class", "left").select(
-        "shingle", "class", "n", "pos", F.coalesce("root", "class").alias("root"), _band())
+def _band():
+    return F.floor(F.log(DEN / NUM, F.col("n") + 0.01)).cast("int").alias("band")
 
 
-def _merged(first: DataFrame, links: DataFrame) -> DataFrame:
+def _merged(first: DataFrame, links: DataFrame, folder: str) -> DataFrame:
     """first (class, root) after more links (a, b); classes that are alone are not in first."""
-    of = lambda c: first.select(F.col("class").alias(c), F.col("root").alias(f"root_{c}"))
+    known = _few(first)
+    of = lambda c: known.select(F.col("class").alias(c), F.col("root").alias(f"root_{c}"))
     between = (links.join(of("a"), "a", "left").join(of("b"), "b", "left")
                .select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
-    moved = components(between)
-    known = first.unionByName(moved.select(F.col("node").alias("class"), F.col("node").alias("root")).join(first, "class", "left_anti"))
-    return cut(known.join(moved.toDF("root", "to"), "root", "left").select("class", F.coalesce("to", "root").alias("root")))
-
-
-def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, roots) of docs (doc_id, th, text), th being a hash of the text: (doc_id, th, n, class)
-    of each row, and (node, root) of the classes that link with another one."""
-    small_batches(docs.sparkSession)
-    characters = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    slot_bits, common = common_slots(docs, characters)
-    shared = docs.sparkSession.sparkContext.broadcast(common)
-    folder = shared_folder(docs.sparkSession, "ngram-join")
-    # checkpoint() would compute what Python makes twice; the rows stay in the shared folder, as they are returned
-    slim = written(docs.select("doc_id", "th", "text").mapInArrow(_classes, CLASS), f"{folder}-rows")
-    holders = cut(slim.filter("n > 0").groupBy("class").agg(
-        F.min(F.struct("doc_id", "th")).alias("one"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")).select("class", "one.doc_id", "one.th", "n", "bitmap"))
-
-    # dealt by shingle once: each class once a shingle, then only shingles of two classes or more
+    moved = components(written(between, f"{folder}/between"), f"{folder}/between-roots")
+    to = _few(moved)
+    old = first.join(to.toDF("root", "to"), "root", "left").select("class", F.coalesce("to", "root").alias("root"))
+    new = moved.join(known.select(F.col("class").alias("node")), "node", "left_anti").select(F.col("node").alias("class"), "root")
+    return written(old.unionAll(new), f"{folder}/merged")
+
+
+def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, str]:
+    """(rows, holders, roots, folder) of docs (doc_id, th, text), th being a hash of the text: (doc_id, th, n, class)
+    of each row, (class, doc_id, th) of the row with the smallest id in each class with words, and (class, root)
+    of the classes that link with another one. These are tables in the folder and stay there, as results read them."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    folder = shared_folder(spark, "ngram-join")
+    rows = written(docs.select("doc_id", "th", "text").mapInArrow(_classes, CLASS), f"{folder}/rows")
+    last = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")
+    holders = written(rows.filter("n > 0").groupBy("class").agg(
+        F.min(last).alias("one"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")).select("class", "one.doc_id", "one.th", "n", "bitmap"), f"{folder}/holders")
+    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    slot_bits, *common = common_slots(docs, total)
+    shared = spark.sparkContext.broadcast(common)
+
+    # dealt by shingle once; a shingle is of use if it can be the first that one of its holders shares with another
     prefixes = docs.select("text").mapInArrow(partial(_prefixes, slot_bits=slot_bits, common=shared), PREFIX)
-    linked = lambda pairs, name: verify(promising(pairs, holders, f"{folder}/{name}"), holders, docs, f"{folder}/{name}")
-    alike = Window.partitionBy("shingle")
+    by_size = Window.partitionBy("shingle", "salt").orderBy("n", "class")
+    whole = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = F.collect_list(F.when(F.expr(STARTS), F.struct("class", "n", "pos"))).over(by_size.rowsBetween(-NEAR, -1))
     held = written(
-        prefixes.repartition("shingle").distinct()
-        .withColumn("lead", F.min(F.struct("class", "n", "pos")).over(alike)).withColumn("top", F.max("class").over(alike))
-        .filter("lead.class <> top").select("shingle", "class", "n", "pos", "lead"), f"{folder}/held")
-
-    # round one: each class against the one with which it shares most, of those it can link with
-    counts = held.filter("class <> lead.class").filter(_can_start("n", "pos", "lead.n", "lead.pos")).groupBy("class", F.col("lead.class").alias("lead")).count()
-    nearest = counts.groupBy("class").agg(F.max_by("lead", F.struct("count", "lead")).alias("a")).select("a", F.col("class").alias("b"))
-    first = components(linked(nearest, "nearest")).toDF("class", "root")
-
-    # round two: each class of a crowded tile against LEADS others of it, so that all pairs are few later
-    alone = Window.partitionBy("shingle", "band")
-    leads = F.array(*[F.min(F.struct(F.xxhash64("class", F.lit(k)).alias("h"), "class", "root", "n", "pos")).over(alone) for k in range(LEADS)])
-    crowded = (_labelled(held, first).withColumn("many", F.count(F.lit(1)).over(alone)).withColumn("leads", leads).filter(F.col("many") > CROWD)
-               .select("class", "root", "n", "pos", F.explode("leads").alias("lead")).filter("lead.root <> root").filter(_can_start("lead.n", "lead.pos", "n", "pos"))
-               .select(F.col("lead.class").alias("a"), F.col("class").alias("b")).distinct())
-    first = _merged(first, linked(crowded, "crowded"))
-
-    # last round: what is left between components, in tiles of a shingle and a size band. Of the component
+        prefixes.repartition("shingle", "salt").distinct()
+        .withColumn("many", F.count(F.lit(1)).over(whole)).withColumn("starts", F.count_if(F.expr(STARTS)).over(whole))
+        .filter("salt > 0 or many > 1 and starts > 0").withColumn("before", before)
+        .withColumn("near", F.expr(f"transform(filter(before, x -> {_sizes_allow('x.n', 'n')} and {_can_start('x.n', 'x.pos', 'n', 'pos')}), x -> x.class)"))
+        .select("shingle", "salt", "class", "n", "pos", "near"), f"{folder}/held")
+    shared.destroy()
+
+    # round one: each class against the few with which it shares most
+    most = Window.partitionBy("b").orderBy(F.desc("count"), "a")
+    nearest = (held.select(F.explode("near").alias("a"), F.col("class").alias("b")).groupBy("a", "b").count()
+               .withColumn("place", F.row_number().over(most)).filter(F.col("place") <= TRIED).select("a", "b"))
+    tried = promising(nearest, holders, f"{folder}/tried")
+    first = components(verify(tried, holders, docs, f"{folder}/first"), f"{folder}/roots").toDF("class", "root")
+
+    # round two: what is left between components, in tiles of a shingle and a size band. Of the component
     # that most holders of a shingle are in, members meet others only, so that a large one is not paired with itself
-    tiles = written(
-        _labelled(held, first).withColumn("low", F.min("root").over(alike)).withColumn("high", F.max("root").over(alike)).filter("low <> high")
-        .withColumn("main", F.col("root") == F.mode("root").over(alike)).select("shingle", "class", "n", "pos", "root", "band", "main"), f"{folder}/tiles")
-    lower = tiles.select("shingle", F.col("band").alias("tile"), F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("root").alias("root_a"), "main")
-    upper = tiles.select("shingle", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("tile"), "band", F.col("class").alias("b"),
+    rooted = (held.filter("salt % 2 = 0").select("shingle", "class", "n", "pos").join(_few(first), "class", "left")
+              .withColumn("root", F.coalesce("root", "class")))
+    mixed = (rooted.groupBy("shingle", "root").count().groupBy("shingle")
+             .agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("shingle", "main"))
+    tiles = written(rooted.join(mixed, "shingle").select("shingle", "class", "n", "pos", "root", _band(), (F.col("root") == F.col("main")).alias("main")), f"{folder}/tiles")
+    lower = tiles.filter(STARTS).select("shingle", F.col("band").alias("tile"), F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("root").alias("root_a"), "main")
+    upper = tiles.select("shingle", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("tile"), F.col("class").alias("b"),
                          F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("root").alias("root_b"), F.col("main").alias("main_b"))
     meet = lambda x, y: (x.join(y, ["shingle", "tile"])
-                         .filter(f"root_a <> root_b and (band > tile or a < b) and n_a * {DEN} >= n_b * {NUM} and n_b * {DEN} >= n_a * {NUM}")
+                         .filter(f"root_a <> root_b and (n_a < n_b or n_a = n_b and a < b) and {_sizes_allow('n_a', 'n_b')}")
                          .filter(_can_start("n_a", "pos_a", "n_b", "pos_b")).select("a", "b"))
     left = meet(lower, upper.filter("not main_b")).unionAll(meet(lower.filter("not main"), upper.filter("main_b"))).distinct()
-    roots = _merged(first, linked(left, "left")).toDF("node", "root")
-    remove(docs.sparkSession, folder)
-    return slim.select("doc_id", "th", "n", "class"), roots
+    rest = promising(left.join(tried, ["a", "b"], "left_anti"), holders, f"{folder}/rest")
+    roots = _merged(first, verify(rest, holders, docs, f"{folder}/second"), folder)
+    for name in ("held", "tried", "first", "roots", "tiles", "rest", "second", "between", "between-roots"):
+        remove(spark, f"{folder}/{name}")
+    return rows.select("doc_id", "th", "n", "class"), holders.select("class", "doc_id", "th"), roots, folder
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
@@ -357,31 +410,31 @@ def _prepared(docs: DataFrame) -> DataFrame:
 
 def component_rows(docs: DataFrame) -> DataFrame:
     """The rows of op2: doc_id, n_shingles, component_id."""
-    rows, roots = classify(_prepared(docs))
-    total = rows.count()
-    rooted = cut(rows.filter("n > 0").join(roots.toDF("class", "root"), "class", "left").select("doc_id", "n", F.coalesce("root", "class").alias("root")))
-    least = cut(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("size")))
-    linked = attach(rooted, least, "root", "size", total).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.unionAll(rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    rows, holders, roots, _ = classify(_prepared(docs))
+    rooted = holders.join(roots, "class")
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("least"))
+    linked = rooted.join(least, "root").select("class", "least")
+    ids = holders.join(linked, "class", "left").select("class", F.coalesce("least", "doc_id").alias("component_id"))
+    return (rows.filter("n > 0").join(ids, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+            .unionAll(rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs without near duplicates: of each component one row with the smallest doc_id
     stays, and every row without words. All columns stay."""
-    rows, roots = classify(_prepared(docs))
-    rooted = cut(rows.filter("n > 0").join(roots.toDF("class", "root"), "class", "left").groupBy(F.coalesce("root", "class").alias("root"), "doc_id", "th").agg(F.count(F.lit(1)).alias("copies")))
-    stays = rooted.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "th")).alias("keep"), F.count(F.lit(1)).alias("size"))
-    total = rooted.count()
-    judged = attach(rooted, cut(stays), "root", "size", total).select(
-        F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "copies",
-        ((F.coalesce("doc_id", F.lit(2**63 - 1)) == F.col("keep.id")) & (F.col("th") == F.col("keep.th"))).alias("stays"))
-    judged = cut(judged.filter("not stays or copies > 1"))
-    goes = F.broadcast(judged) if judged.count() <= BROADCAST_IDS else judged
+    rows, holders, roots, folder = classify(_prepared(docs))
+    rooted = holders.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")
+    keep = rooted.groupBy("root").agg(F.min(order).alias("one")).select("root", F.col("one.doc_id").alias("keep_id"), F.col("one.th").alias("keep_th"))
+    kept_by = rooted.join(keep, "root").select("class", "keep_id", "keep_th")
+    goes = (rows.filter("n > 0").join(kept_by, "class")
+            .select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("th") == F.col("keep_th"))).alias("stays"))
+            .groupBy("_id", "_th", "stays").agg(F.count(F.lit(1)).alias("copies")).filter("not stays or copies > 1"))
+    judged = written(goes, f"{folder}/judged")
     same = lambda wrapped: F.col("_id").eqNullSafe(F.col(f"{wrapped}.doc_id").cast("long")) & (F.col("_th") == F.xxhash64(F.coalesce(F.col(f"{wrapped}.text"), F.lit(""))))
     wrapped = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kept = wrapped.join(goes, same("row"), "left_anti")
-    if judged.filter("stays").limit(1).count():  # rows that repeat id and text
-        again = judged.filter("stays")
-        once = wrapped.join(again, same("row")).groupBy("_id", "_th").agg(F.max("row").alias("row"))
-        kept = kept.unionAll(once.select("row"))
+    kept = wrapped.join(_few(judged), same("row"), "left_anti")
+    again = judged.filter("stays")
+    if not again.isEmpty():  # rows that repeat id and text
+        kept = kept.unionAll(wrapped.join(again, same("row")).groupBy("_id", "_th").agg(F.max("row").alias("row")).select("row"))
     return kept.select("row.*")
