@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orbweave.operators.store import cut, remove, shared_folder, written  # noqa: F401  for the operators
+
 #: A word, as a regular expression of Java, RE2 and Python alike.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -19,18 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint df eagerly in the shared folder that spark.checkpoint.dir names.
-
-    Only where no folder is set (tests on one machine) a temporary one is made.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="orbweave-checkpoint-"))
-    return df.checkpoint()
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep Arrow batches of whole texts small, so that a Python worker's memory stays bounded."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
@@ -72,22 +59,3 @@ def bounds_at_most(value: Column, bounds: list[int]) -> Column:
     marks = numbers(bounds)
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
     return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(marks, at + s - 1) <= value, at + s).otherwise(at))
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that spark.checkpoint.dir names."""
-    cut(spark.range(0))  # makes sure that a folder is set
-    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, path: str) -> DataFrame:
-    """df as a Parquet table at path, which takes less room than a checkpoint; remove() drops it."""
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared store, through Hadoop's file systems."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

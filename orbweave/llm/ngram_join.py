@@ -15,7 +15,7 @@ shingles, among those that stand before it by size in its tiles; that joins grou
 looking at all their pairs. Then all remaining candidates between different components are verified, so
 no link between components is lost. Holders of a shingle that very many have stand in two of its groups
 in the first round, by two hashes of their class, so no group is large and yet all hang together.
-Components contract along verified links by joins until no link is left between two of them.
+Components merge along verified links by joins, in rounds of pointer doubling.
 
 Defined results: words are compared with A-Z in lower case; a text of one to four words is one
 shingle; null and empty texts have none and are linked with nothing; a null doc_id is no smallest
@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from orbweave.llm.common import remove, shared_folder, small_batches, written
 from orbweave.llm.textops import U, column_bytes, mix, pieces, shingles, words
+from orbweave.operators.components import connected_components
 
 #: Similarity of at least NUM / DEN links.
 NUM, DEN = 3, 4
@@ -263,32 +264,6 @@ def verify(pairs: DataFrame, holders: DataFrame, docs: DataFrame, path: str) ->
                    .sortWithinPartitions("a", "part", F.col("is_leader").desc()).mapInArrow(_linked, "a long, b long"), path)
 
 
-# --- components --------------------------------------------------------------------------------
-
-def components(links: DataFrame, folder: str) -> DataFrame:
-    """(node, root) for every node of links (a, b), root being the same all over a component; written below folder.
-
-    Every round hangs each node that has a smaller neighbour under the smallest one, takes it to
-    that one's own parent, and contracts the links; what is left are links between fewer nodes.
-    """
-    links, rounds = links.filter("a <> b"), []
-    while True:
-        at = f"{folder}/{len(rounds)}"
-        both = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("x"))
-        parents = both.groupBy("x.node").agg(F.min("x.other").alias("other")).select("node", F.least("node", "other").alias("parent"))
-        step = written(parents.join(parents.toDF("parent", "top"), "parent").select("node", F.col("top").alias("parent")), f"{at}/step")
-        rounds.append(step)
-        links = written(
-            links.join(step.toDF("a", "pa"), "a").join(step.toDF("b", "pb"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
-            .filter("a <> b").distinct(), f"{at}/links")
-        if links.isEmpty():
-            break
-    labels = rounds[0].toDF("node", "root")
-    for step in rounds[1:]:
-        labels = labels.join(step.toDF("root", "parent"), "root", "left").select("node", F.coalesce("parent", "root").alias("root"))
-    return labels if len(rounds) == 1 else written(labels, f"{folder}/labels")
-
-
 def _few(ids: DataFrame) -> DataFrame:
     """A written table, to be broadcast if it is small enough."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
@@ -340,7 +315,7 @@ def _merged(first: DataFrame, links: DataFrame, folder: str) -> DataFrame:
     of = lambda c: known.select(F.col("class").alias(c), F.col("root").alias(f"root_{c}"))
     between = (links.join(of("a"), "a", "left").join(of("b"), "b", "left")
                .select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
-    moved = components(written(between, f"{folder}/between"), f"{folder}/between-roots")
+    moved = connected_components(written(between, f"{folder}/between"), f"{folder}/between-roots")
     to = _few(moved)
     old = first.join(to.toDF("root", "to"), "root", "left").select("class", F.coalesce("to", "root").alias("root"))
     new = moved.join(known.select(F.col("class").alias("node")), "node", "left_anti").select(F.col("node").alias("class"), "root")
@@ -380,7 +355,7 @@ def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, str]:
     nearest = (held.select(F.explode("near").alias("a"), F.col("class").alias("b")).groupBy("a", "b").count()
                .withColumn("place", F.row_number().over(most)).filter(F.col("place") <= TRIED).select("a", "b"))
     tried = promising(nearest, holders, f"{folder}/tried")
-    first = components(verify(tried, holders, docs, f"{folder}/first"), f"{folder}/roots").toDF("class", "root")
+    first = connected_components(verify(tried, holders, docs, f"{folder}/first"), f"{folder}/roots").toDF("class", "root")
 
     # round two: what is left between components, in tiles of a shingle and a size band. Of the component
     # that most holders of a shingle are in, members meet others only, so that a large one is not paired with itself
