@@ -3,7 +3,10 @@
 The first pass hashes every text into a blocked Bloom filter that keeps only bits set
 more than once; the second pass asks that filter about every row. A row of which a bit
 is missing has no equal and passes straight through; the others, which may be repeated,
-are the only rows that shuffle, and they are grouped by SHA-256 of the normalised text.
+are the only rows that shuffle to be grouped, by SHA-256 of the normalised text. The first
+pass shuffles (block, bit) pairs with their counts, never rows. Up to MAX_BITS the filter
+is broadcast; a larger one is joined by its blocks, so that each row meets the one block
+that it needs, and the same few rows are grouped.
 
 Defined results: texts are equal when identical after lower-casing A-Z only; null text
 counts as empty; the row with the largest doc_id stays (null ids are smallest); of rows
@@ -20,17 +23,17 @@ from orbweave.llm.common import ascii_lower, attach, cut
 
 #: Bits of one block, a row of 4096 bytes.
 BLOCK = 32768
-#: The filter is broadcast, so it may not grow beyond this (64 MB).
+#: The filter is broadcast up to this size (64 MB), else joined by block.
 MAX_BITS = 1 << 29
 BITS_PER_ROW = 16
 
 
 def filter_blocks(rows: int) -> int:
-    """Blocks for so many rows, a power of two; 0 where the filter would pass MAX_BITS."""
+    """Blocks for so many rows, a power of two."""
     bits = BLOCK
     while bits < BITS_PER_ROW * rows:
         bits *= 2
-    return bits // BLOCK if bits <= MAX_BITS else 0
+    return bits // BLOCK
 
 
 def repeat_filter(hashes: DataFrame, blocks: int) -> DataFrame:
@@ -47,7 +50,7 @@ def repeat_filter(hashes: DataFrame, blocks: int) -> DataFrame:
 def probe_columns(blocks: int) -> list:
     """A hash chooses a block and two bits in it."""
     return [
-        F.pmod(F.col("h"), F.lit(blocks)).cast("int").alias("block"),
+        F.pmod(F.col("h"), F.lit(blocks)).alias("block"),
         F.shiftrightunsigned("h", 34).bitwiseAND(BLOCK - 1).alias("bit1"),
         F.shiftrightunsigned("h", 49).bitwiseAND(BLOCK - 1).alias("bit2"),
     ]
@@ -59,17 +62,12 @@ def _is_set(bit: str):
 
 
 def flag_repeats(rows: DataFrame, total: int) -> DataFrame:
-    """Pass two: rows (with a long column h) with `maybe`, false where h surely occurs once.
-
-    Beyond the bound of the broadcast every row is `maybe`, and all of them are grouped.
-    """
+    """Pass two: rows (with a long column h) with `maybe`, false where h surely occurs once."""
     blocks = filter_blocks(total)
-    if not blocks:
-        return rows.withColumn("maybe", F.lit(True))
     filtered = repeat_filter(rows.select("h"), blocks)
     return (
         rows.select("*", *probe_columns(blocks))
-        .join(F.broadcast(filtered), "block", "left")
+        .join(F.broadcast(filtered) if blocks * BLOCK <= MAX_BITS else filtered, "block", "left")
         .withColumn("maybe", F.coalesce(_is_set("bit1") & _is_set("bit2"), F.lit(False)))
         .drop("block", "bit1", "bit2", "bits")
     )
@@ -101,7 +99,10 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns; only possible repeats shuffle."""
+    """The rows of docs that stay, with all their columns; only possible repeats are grouped.
+
+    Where the filter is too large to be broadcast, rows shuffle once to meet their blocks.
+    """
     text = ascii_lower(F.col("text"))
     rows = docs.select(F.xxhash64(text).alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     flagged = flag_repeats(rows, docs.count())

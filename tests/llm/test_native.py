@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from orbweave.llm import exact_dedup as exact_dedup_module
 from orbweave.llm import url_filter
 from orbweave.llm.chat import CHAT, chat_digests, format_chats, read_back
 from orbweave.llm.exact_dedup import duplicate_groups, exact_dedup, filter_blocks
@@ -39,6 +40,16 @@ def test_duplicate_groups(spark):
     assert sum(r.kept for r in got) == len(groups)
 
 
+def test_filter_too_large_to_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i if i % 50 else i % 3}", "s") for i in range(3000)], "doc_id long, text string, bits string")
+    small = sorted(tuple(r) for r in duplicate_groups(docs).collect()), sorted(r.doc_id for r in exact_dedup(docs).collect())
+    monkeypatch.setattr(exact_dedup_module, "MAX_BITS", 0)
+    assert small == (sorted(tuple(r) for r in duplicate_groups(docs).collect()), sorted(r.doc_id for r in exact_dedup(docs).collect()))
+    rows = docs.select(F.xxhash64("text").alias("h"))
+    flagged = exact_dedup_module.flag_repeats(rows, 3000)
+    assert flagged.count() == 3000 and 60 <= flagged.filter("maybe").count() < 300  # the repeats and a few more, not all rows
+
+
 def test_exact_dedup_keeps_columns(spark):
     docs = documents(spark)
     kept = exact_dedup(docs)
@@ -50,7 +61,7 @@ def test_exact_dedup_keeps_columns(spark):
 def test_dedup_of_nothing_and_beyond_the_filter(spark):
     assert duplicate_groups(documents(spark).limit(0)).count() == 0
     assert exact_dedup(documents(spark).limit(0)).count() == 0
-    assert filter_blocks(1 << 40) == 0  # everything is grouped then, and nothing is broadcast
+    assert filter_blocks(1 << 40) * exact_dedup_module.BLOCK == 16 << 40  # the method holds at every size
 
 
 def test_mix_reaches_targets(spark):
