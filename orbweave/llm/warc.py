@@ -46,6 +46,8 @@ class Limits:
 
 
 NO_ID = "-"
+#: Tasks that commit or read the files of an archive, at most.
+FILE_TASKS = 20_000
 
 
 def digest32(data: bytes) -> str:
@@ -157,6 +159,14 @@ def _commit(batches: Iterator, folder: str) -> Iterator:
         yield batch
 
 
+def _dealt(manifest: DataFrame) -> DataFrame:
+    """The rows of a manifest, one a file, over as many tasks as there are files (FILE_TASKS at most).
+
+    The number is stated, as Spark would put the few bytes of a manifest into one task.
+    """
+    return manifest.repartitionByRange(max(1, min(FILE_TASKS, manifest.count())), "name")
+
+
 def write_warc(pages: DataFrame, folder: str, limits: Limits = Limits()) -> DataFrame:
     """Write pages (page_id, url, html) as WARC files into folder; returns the manifest."""
     spark = pages.sparkSession
@@ -184,7 +194,7 @@ def write_warc(pages: DataFrame, folder: str, limits: Limits = Limits()) -> Data
     store.create_dir(f"{root}/_temporary", recursive=True)
     manifest = cut(stream.repartition("shard").sortWithinPartitions("shard", "page_id", "is_page", "url", "html")
                    .mapInArrow(partial(_write_shards, folder=folder, limits=limits), MANIFEST))
-    done = cut(manifest.repartition("name").mapInArrow(partial(_commit, folder=folder), MANIFEST)).drop("temporary")
+    done = cut(_dealt(manifest).mapInArrow(partial(_commit, folder=folder), MANIFEST)).drop("temporary")
     done.write.parquet(f"{folder}/manifest")
     store.delete_dir(f"{root}/_temporary")
     return spark.read.schema(done.schema).parquet(f"{folder}/manifest")
@@ -251,7 +261,7 @@ def _read_files(batches: Iterator, folder: str) -> Iterator:
 
 def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
     """The records of the files in a manifest, digests checked."""
-    return manifest.select("name").repartition("name").mapInArrow(partial(_read_files, folder=folder), READ)
+    return _dealt(manifest.select("name")).mapInArrow(partial(_read_files, folder=folder), READ)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
