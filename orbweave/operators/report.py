@@ -49,6 +49,22 @@ def summary(findings: DataFrame) -> DataFrame:
     return findings.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
 
 
+def full_summary(findings: DataFrame, suppressed: DataFrame, files: DataFrame, baselined: DataFrame, probed: DataFrame) -> DataFrame:
+    """One row: errors, warnings, suppressed, files, degraded (files with a detail), baselined, cache_hits, cache_misses."""
+    kind = lambda df, c: df.select(c.alias("kind"))
+    every = (kind(findings, F.col("severity")).unionAll(kind(suppressed, F.lit("suppressed"))).unionAll(kind(baselined, F.lit("baselined")))
+             .unionAll(kind(files, F.when(F.col("detail").isNull(), "read").otherwise("degraded"))).unionAll(kind(probed, F.when(F.col("hit"), "hit").otherwise("miss"))))
+    count = lambda *kinds: F.count_if(F.col("kind").isin(*kinds))
+    return every.agg(count("error").alias("errors"), count("warning").alias("warnings"), count("suppressed").alias("suppressed"), count("read", "degraded").alias("files"),
+                     count("degraded").alias("degraded"), count("baselined").alias("baselined"), count("hit").alias("cache_hits"), count("miss").alias("cache_misses"))
+
+
+def report_lines(findings: DataFrame, degraded: DataFrame) -> DataFrame:
+    """The lines of the findings, and one for each degraded file (path, detail) that was skipped."""
+    skipped = degraded.select(F.concat(F.col("path"), F.lit(":1:1: warning: file skipped: "), F.col("detail")).alias("value"))
+    return text_lines(findings).unionAll(skipped)
+
+
 def exit_status(findings: DataFrame, strict: bool = False) -> int:
     """1 if there is an error, or, if strict, any finding."""
     failing = findings if strict else findings.filter("severity = 'error'")

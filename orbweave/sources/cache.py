@@ -7,6 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def salt(defines: list[str], contracts: list[str]) -> str:
+    """What a content key holds beside the content: settings that change the facts, in order."""
+    return ",".join(sorted(defines)) + ";" + ",".join(sorted(contracts)) + ";"
+
+
 def probe(files: DataFrame, snapshot: DataFrame) -> DataFrame:
     """files (path, fingerprint, ...) with hit and the cached facts (null on a miss)."""
     known = snapshot.select("path", "fingerprint", F.col("facts"), F.lit(True).alias("hit"))
