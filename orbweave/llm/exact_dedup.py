@@ -19,58 +19,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orbweave.llm.bloom import asked, build, filter_blocks
 from orbweave.llm.common import ascii_lower, attach, cut
 
-#: Bits of one block, a row of 4096 bytes.
-BLOCK = 32768
 #: The filter is broadcast up to this size (64 MB), else joined by block.
 MAX_BITS = 1 << 29
-BITS_PER_ROW = 16
-
-
-def filter_blocks(rows: int) -> int:
-    """Blocks for so many rows, a power of two."""
-    bits = BLOCK
-    while bits < BITS_PER_ROW * rows:
-        bits *= 2
-    return bits // BLOCK
-
-
-def repeat_filter(hashes: DataFrame, blocks: int) -> DataFrame:
-    """Pass one: (block, bits) of the bits that at least two of `hashes` (column h) set."""
-    probes = hashes.select(*probe_columns(blocks))
-    return (
-        probes.select("block", F.explode(F.array("bit1", "bit2")).alias("bit"))
-        .groupBy("block", "bit").count()
-        .filter("count > 1")
-        .groupBy("block").agg(F.bitmap_construct_agg(F.col("bit")).alias("bits"))
-    )
-
-
-def probe_columns(blocks: int) -> list:
-    """A hash chooses a block and two bits in it."""
-    return [
-        F.pmod(F.col("h"), F.lit(blocks)).alias("block"),
-        F.shiftrightunsigned("h", 34).bitwiseAND(BLOCK - 1).alias("bit1"),
-        F.shiftrightunsigned("h", 49).bitwiseAND(BLOCK - 1).alias("bit2"),
-    ]
-
-
-def _is_set(bit: str):
-    byte = F.expr(f"cast(conv(hex(substring(bits, cast({bit} div 8 as int) + 1, 1)), 16, 10) as int)")
-    return F.expr("true") & (F.call_function("shiftright", byte, F.pmod(F.col(bit), F.lit(8)).cast("int")).bitwiseAND(1) == 1)
 
 
 def flag_repeats(rows: DataFrame, total: int) -> DataFrame:
     """Pass two: rows (with a long column h) with `maybe`, false where h surely occurs once."""
     blocks = filter_blocks(total)
-    filtered = repeat_filter(rows.select("h"), blocks)
-    return (
-        rows.select("*", *probe_columns(blocks))
-        .join(F.broadcast(filtered) if blocks * BLOCK <= MAX_BITS else filtered, "block", "left")
-        .withColumn("maybe", F.coalesce(_is_set("bit1") & _is_set("bit2"), F.lit(False)))
-        .drop("block", "bit1", "bit2", "bits")
-    )
+    return asked(rows, "h", build(rows.select("h"), blocks, least=2), blocks, MAX_BITS)
 
 
 def duplicate_groups(docs: DataFrame) -> DataFrame:

@@ -11,8 +11,9 @@ overlap from above: each bit of one bitmap that the other lacks is a shingle not
 pass are verified, by intersecting sorted arrays of hashes.
 
 It goes in two rounds. First each class is verified against the few with which it shares most prefix
-shingles, among those that stand before it by size in its tiles; that joins groups of copies without
-looking at all their pairs. Then all remaining candidates between different components are verified, so
+shingles, among those that stand first or just before it in its tiles. There the order is by the place
+of the shared shingle, so first come the classes with the fewest rare shingles of their own, that is,
+the texts that others were edited from; that joins groups of copies without looking at all their pairs. Then all remaining candidates between different components are verified, so
 no link between components is lost. Holders of a shingle that very many have stand in two of its groups
 in the first round, by two hashes of their class, so no group is large and yet all hang together.
 Components merge along verified links by joins, in rounds of pointer doubling.
@@ -32,6 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orbweave.llm.bloom import BLOCK, asked, build, filter_blocks
 from orbweave.llm.common import remove, shared_folder, small_batches, written
 from orbweave.llm.textops import U, column_bytes, mix, pieces, shingles, words
 from orbweave.operators.components import connected_components
@@ -46,8 +48,8 @@ MOST_COMMON = 1 << 20
 RANGE_SHINGLES = 1 << 20
 #: Bits of the longest bitmap.
 MOST_BITS = 16384
-#: Holders of a shingle that stand before one by size and are counted as its partners in round one ...
-NEAR = 8
+#: Holders of a shingle that stand before one in its order, and such that stand first, are counted as its partners in round one ...
+NEAR, FIRST = 8, 4
 #: ... of which so many, those with most shingles in common, are verified.
 TRIED = 3
 #: Holders of a shingle that stand in one group of round one, about.
@@ -56,6 +58,8 @@ GROUP = 4096
 STAR = 256
 #: Ids are broadcast up to this many, else joined by a shuffle.
 BROADCAST_IDS = 50_000
+#: Bits of the largest Bloom filter that says which texts are needed (8 MB); a longer list makes it less sharp.
+NEED_BITS = 1 << 26
 
 
 # --- which shingles are common -----------------------------------------------------------------
@@ -247,6 +251,12 @@ def _linked(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array(leaders, pa.int64()), pa.array(classes, pa.int64())], names=["a", "b"])
 
 
+def needed(docs: DataFrame, hashes: DataFrame, count: int) -> DataFrame:
+    """The rows of docs whose th may be among hashes (column h, about so many); the others stay where they are."""
+    blocks = min(filter_blocks(count), NEED_BITS // BLOCK)
+    return asked(docs, "th", build(hashes, blocks), blocks, NEED_BITS).filter("maybe").drop("maybe")
+
+
 def verify(pairs: DataFrame, holders: DataFrame, docs: DataFrame, path: str) -> DataFrame:
     """The pairs (a, b) of classes that link, written at path. holders: (class, doc_id, th); docs: (doc_id, th, text).
 
@@ -257,9 +267,8 @@ def verify(pairs: DataFrame, holders: DataFrame, docs: DataFrame, path: str) ->
     role = lambda leads, c: F.struct(F.lit(leads).alias("is_leader"), F.col(c).alias("class"))
     roles = (pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.explode(F.array(role(True, "a"), role(False, "b"))).alias("role"))
              .select("a", "part", "role.*").distinct())
-    sent = roles.join(holders.select("class", F.col("doc_id").alias("of"), F.col("th").alias("of_th")), "class")
-    few = F.broadcast(sent) if 2 * pairs.count() <= BROADCAST_IDS else sent
-    texts = docs.join(few, (F.col("th") == F.col("of_th")) & F.col("doc_id").eqNullSafe(F.col("of")))
+    sent = written(roles.join(holders.select("class", F.col("doc_id").alias("of"), F.col("th").alias("of_th")), "class"), f"{path}-sent")
+    texts = needed(docs, sent.select(F.col("of_th").alias("h")), sent.count()).join(sent, (F.col("th") == F.col("of_th")) & F.col("doc_id").eqNullSafe(F.col("of")))
     return written(texts.select("a", "part", "is_leader", F.col("class").alias("b"), "text").repartition("a", "part")
                    .sortWithinPartitions("a", "part", F.col("is_leader").desc()).mapInArrow(_linked, "a long, b long"), path)
 
@@ -305,6 +314,10 @@ def _can_start(na: str, pa: str, nb: str, pb: str) -> str:
 STARTS = _can_start("n", "pos", "n", "pos")
 
 
+def _either_way() -> list:
+    return [F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")]
+
+
 def _band():
     return F.floor(F.log(DEN / NUM, F.col("n") + 0.01)).cast("int").alias("band")
 
@@ -339,21 +352,23 @@ def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, str]:
 
     # dealt by shingle once; a shingle is of use if it can be the first that one of its holders shares with another
     prefixes = docs.select("text").mapInArrow(partial(_prefixes, slot_bits=slot_bits, common=shared), PREFIX)
-    by_size = Window.partitionBy("shingle", "salt").orderBy("n", "class")
-    whole = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = F.collect_list(F.when(F.expr(STARTS), F.struct("class", "n", "pos"))).over(by_size.rowsBetween(-NEAR, -1))
+    along = Window.partitionBy("shingle", "salt").orderBy("pos", "n", "class")
+    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    one = F.struct("class", "n", "pos")
+    others = F.array_distinct(F.concat(F.collect_list(one).over(along.rowsBetween(-NEAR, -1)), F.array_compact(F.array(*[F.nth_value(one, k + 1).over(whole) for k in range(FIRST)]))))
     held = written(
         prefixes.repartition("shingle", "salt").distinct()
         .withColumn("many", F.count(F.lit(1)).over(whole)).withColumn("starts", F.count_if(F.expr(STARTS)).over(whole))
-        .filter("salt > 0 or many > 1 and starts > 0").withColumn("before", before)
-        .withColumn("near", F.expr(f"transform(filter(before, x -> {_sizes_allow('x.n', 'n')} and {_can_start('x.n', 'x.pos', 'n', 'pos')}), x -> x.class)"))
+        .filter("salt > 0 or many > 1 and starts > 0").withColumn("others", others)
+        .withColumn("near", F.expr(f"transform(filter(others, x -> x.class <> class and {_sizes_allow('x.n', 'n')} and {_can_start('x.n', 'x.pos', 'n', 'pos')}), x -> x.class)"))
         .select("shingle", "salt", "class", "n", "pos", "near"), f"{folder}/held")
     shared.destroy()
 
     # round one: each class against the few with which it shares most
     most = Window.partitionBy("b").orderBy(F.desc("count"), "a")
     nearest = (held.select(F.explode("near").alias("a"), F.col("class").alias("b")).groupBy("a", "b").count()
-               .withColumn("place", F.row_number().over(most)).filter(F.col("place") <= TRIED).select("a", "b"))
+               .withColumn("place", F.row_number().over(most)).filter(F.col("place") <= TRIED)
+               .groupBy(*_either_way()).agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.*"))
     tried = promising(nearest, holders, f"{folder}/tried")
     first = connected_components(verify(tried, holders, docs, f"{folder}/first"), f"{folder}/roots").toDF("class", "root")
 
@@ -363,17 +378,19 @@ def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, str]:
               .withColumn("root", F.coalesce("root", "class")))
     mixed = (rooted.groupBy("shingle", "root").count().groupBy("shingle")
              .agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("shingle", "main"))
-    tiles = written(rooted.join(mixed, "shingle").select("shingle", "class", "n", "pos", "root", _band(), (F.col("root") == F.col("main")).alias("main")), f"{folder}/tiles")
-    lower = tiles.filter(STARTS).select("shingle", F.col("band").alias("tile"), F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("root").alias("root_a"), "main")
-    upper = tiles.select("shingle", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("tile"), F.col("class").alias("b"),
-                         F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("root").alias("root_b"), F.col("main").alias("main_b"))
+    tiles = written(
+        rooted.join(mixed, "shingle").select("shingle", "class", "n", "pos", "root", _band(), (F.col("root") == F.col("main")).alias("main"))
+        .join(holders.select("class", "bitmap"), "class"), f"{folder}/tiles")
+    side = lambda c: [F.col("class").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "pos", "root", "main", "bitmap")]]
+    lower = tiles.filter(STARTS).select("shingle", F.col("band").alias("tile"), *side("a"))
+    upper = tiles.select("shingle", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("tile"), *side("b"))
     meet = lambda x, y: (x.join(y, ["shingle", "tile"])
-                         .filter(f"root_a <> root_b and (n_a < n_b or n_a = n_b and a < b) and {_sizes_allow('n_a', 'n_b')}")
-                         .filter(_can_start("n_a", "pos_a", "n_b", "pos_b")).select("a", "b"))
-    left = meet(lower, upper.filter("not main_b")).unionAll(meet(lower.filter("not main"), upper.filter("main_b"))).distinct()
-    rest = promising(left.join(tried, ["a", "b"], "left_anti"), holders, f"{folder}/rest")
+                         .filter(f"root_a <> root_b and (n_a < n_b or n_a = n_b and a < b) and {_sizes_allow('n_a', 'n_b')} and {_can_start('n_a', 'pos_a', 'n_b', 'pos_b')}"
+                                 f" and {_bound_holds('bitmap_a', 'bitmap_b', 'n_a', 'n_b')}").select("a", "b"))
+    left = meet(lower, upper.filter("not main_b")).unionAll(meet(lower.filter("not main_a"), upper.filter("main_b"))).distinct()
+    rest = written(left.select("a", "b", *_either_way()).join(tried.select(*_either_way()), ["low", "high"], "left_anti").select("a", "b"), f"{folder}/rest")
     roots = _merged(first, verify(rest, holders, docs, f"{folder}/second"), folder)
-    for name in ("held", "tried", "first", "roots", "tiles", "rest", "second", "between", "between-roots"):
+    for name in ("held", "tried", "first-sent", "first", "roots", "tiles", "rest", "second-sent", "second", "between", "between-roots"):
         remove(spark, f"{folder}/{name}")
     return rows.select("doc_id", "th", "n", "class"), holders.select("class", "doc_id", "th"), roots, folder
 
@@ -406,10 +423,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
             .select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("th") == F.col("keep_th"))).alias("stays"))
             .groupBy("_id", "_th", "stays").agg(F.count(F.lit(1)).alias("copies")).filter("not stays or copies > 1"))
     judged = written(goes, f"{folder}/judged")
-    same = lambda wrapped: F.col("_id").eqNullSafe(F.col(f"{wrapped}.doc_id").cast("long")) & (F.col("_th") == F.xxhash64(F.coalesce(F.col(f"{wrapped}.text"), F.lit(""))))
-    wrapped = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kept = wrapped.join(_few(judged), same("row"), "left_anti")
+    same = F.col("_id").eqNullSafe(F.col("row.doc_id").cast("long")) & (F.col("_th") == F.col("h"))
+    # only rows that may have to go meet the list of those that do
+    wrapped = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    blocks = min(filter_blocks(judged.count()), NEED_BITS // BLOCK)
+    flagged = asked(wrapped, "h", build(judged.select(F.col("_th").alias("h")), blocks), blocks, NEED_BITS)
+    kept = flagged.filter(~F.col("maybe")).select("row").unionAll(flagged.filter("maybe").join(judged, same, "left_anti").select("row"))
     again = judged.filter("stays")
     if not again.isEmpty():  # rows that repeat id and text
-        kept = kept.unionAll(wrapped.join(again, same("row")).groupBy("_id", "_th").agg(F.max("row").alias("row")).select("row"))
+        kept = kept.unionAll(wrapped.join(again, same).groupBy("_id", "_th").agg(F.max("row").alias("row")).select("row"))
     return kept.select("row.*")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from orbweave.llm import exact_dedup as exact_dedup_module
 from orbweave.llm import url_filter
 from orbweave.llm.chat import CHAT, chat_digests, format_chats, read_back
-from orbweave.llm.exact_dedup import duplicate_groups, exact_dedup, filter_blocks
+from orbweave.llm.bloom import BLOCK, filter_blocks
+from orbweave.llm.exact_dedup import duplicate_groups, exact_dedup
 from orbweave.llm.mixing import mix, mix_plan
 
 TEXTS = ["Alpha beta", "alpha BETA", None, "", "É word", "é word", "long " * 30_000, "tie", "tie", "alpha beta"]
@@ -61,7 +62,7 @@ def test_exact_dedup_keeps_columns(spark):
 def test_dedup_of_nothing_and_beyond_the_filter(spark):
     assert duplicate_groups(documents(spark).limit(0)).count() == 0
     assert exact_dedup(documents(spark).limit(0)).count() == 0
-    assert filter_blocks(1 << 40) * exact_dedup_module.BLOCK == 16 << 40  # the method holds at every size
+    assert filter_blocks(1 << 40) * BLOCK == 16 << 40  # the method holds at every size
 
 
 def test_mix_reaches_targets(spark):
