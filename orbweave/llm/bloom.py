@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Bits of one block, a row of 4096 bytes.
 BLOCK = 32768
 BITS_PER_ROW = 16
+#: Bits of the largest filter that says which texts are needed (8 MB); a longer list makes it less sharp.
+NEED_BITS = 1 << 26
 
 
 def filter_blocks(rows: int) -> int:
@@ -50,3 +52,9 @@ def asked(rows: DataFrame, h: str, filtered: DataFrame, blocks: int, most_broadc
         .withColumn("maybe", F.coalesce(is_set("bit1") & is_set("bit2"), F.lit(False)))
         .drop("block", "bit1", "bit2", "bits")
     )
+
+
+def needed(docs: DataFrame, hashes: DataFrame, count: int) -> DataFrame:
+    """The rows of docs whose th may be among hashes (column h, about so many); the others stay where they are."""
+    blocks = min(filter_blocks(count), NEED_BITS // BLOCK)
+    return asked(docs, "th", build(hashes, blocks), blocks, NEED_BITS).filter("maybe").drop("maybe")

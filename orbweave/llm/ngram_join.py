@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbweave.llm.bloom import BLOCK, asked, build, filter_blocks
+from orbweave.llm.bloom import BLOCK, NEED_BITS, asked, build, filter_blocks, needed
 from orbweave.llm.common import remove, shared_folder, small_batches, written
 from orbweave.llm.textops import U, column_bytes, mix, pieces, shingles, words
 from orbweave.operators.components import connected_components
@@ -58,8 +58,6 @@ GROUP = 4096
 STAR = 256
 #: Ids are broadcast up to this many, else joined by a shuffle.
 BROADCAST_IDS = 50_000
-#: Bits of the largest Bloom filter that says which texts are needed (8 MB); a longer list makes it less sharp.
-NEED_BITS = 1 << 26
 
 
 # --- which shingles are common -----------------------------------------------------------------
@@ -251,12 +249,6 @@ def _linked(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array(leaders, pa.int64()), pa.array(classes, pa.int64())], names=["a", "b"])
 
 
-def needed(docs: DataFrame, hashes: DataFrame, count: int) -> DataFrame:
-    """The rows of docs whose th may be among hashes (column h, about so many); the others stay where they are."""
-    blocks = min(filter_blocks(count), NEED_BITS // BLOCK)
-    return asked(docs, "th", build(hashes, blocks), blocks, NEED_BITS).filter("maybe").drop("maybe")
-
-
 def verify(pairs: DataFrame, holders: DataFrame, docs: DataFrame, path: str) -> DataFrame:
     """The pairs (a, b) of classes that link, written at path. holders: (class, doc_id, th); docs: (doc_id, th, text).
 

@@ -1,41 +1,84 @@
-"""Removal of repeated byte strings by a depth-limited radix sort of suffixes.
-
-A 400-byte string that starts twice is a pair of suffixes that agree to depth 400, so suffixes are
-ordered most significant digit first and only as deep as that; a suffix that is alone in its bucket
-after a digit leaves. The digits are content-defined, so that runs of suffixes share their first ones:
-
-1. Every 400-byte window picks the smallest hash of its 100-byte grams. The windows that pick the
-   same gram form a run; windows with equal bytes pick the same gram at the same place, so runs whose
-   gram occurs once hold no repeated window. This digit sorts runs, about one for 150 suffixes.
-2. Runs that agree in all their bytes are repeated as a whole (two suffixes of each pair are equal).
-3. Of runs that share the gram only, each distinct one is dealt into its single windows, by the hash
-   of all 400 bytes: equal groups are exactly the repeated windows.
-
-The bytes of repeated windows are then removed from each text. Hashes have 64 bits.
-
-Defined results: null text counts as empty; texts of fewer than 400 bytes lose nothing; a text with an
-equal text elsewhere (or a row that is repeated) loses everything; ids may be null or repeated, each row
-gives one row; an empty table gives an empty result; other columns are not read.
+"""Removal of repeated strings by a depth-limited radix sort of suffixes, digit by digit from an anchor.
+
+A string of `depth` tokens that starts twice is a pair of suffixes that agree to that depth, so suffixes
+are sorted only as deep as that, most significant digit first, and one that is alone in its bucket after a
+digit leaves. Equal groups after the last digit are exactly the repeated windows. The digits are taken
+from an anchor outwards, not from the left, so that neighbouring suffixes go through the first ones together:
+
+1. The first digit of a window is the smallest hash of its grams, its anchor. Neighbouring windows that
+   have the same one form a run, and runs are sorted, about one for (depth - gram) / 2 suffixes. Runs that
+   agree in all their tokens are repeated as a whole, and one of them stands for all from there on.
+2. The second digit is the core: windows that start in one band before the anchor have a part in common,
+   all but a band's length of the depth. Bands whose core occurs once leave.
+3. The last digit is the whole window, 128 bits of hash, of each start in the bands that are left.
+
+Grams that a sample finds to be frequent are dealt by run as well, so that no bucket of step 1 is large;
+buckets of the other steps are counted in the map side's aggregate and joined back, never gathered.
+A token is a byte, or a word for the passages.
+
+Defined results: null text counts as empty; texts of fewer than 400 bytes lose nothing; a text of 400
+bytes and more with an equal text elsewhere (or a row that is repeated) loses everything; passages are
+strings of 50 words (A-Z in lower case) that start twice; ids may be null or repeated, each row gives one
+row; an empty table gives an empty result; other columns are not read. Texts are told apart by 64 bits
+where they are joined, by SHA-256 where they are called equal.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import cut, small_batches
-from orbweave.llm.textops import PIECE, U, Prefix, column_bytes, pieces
+from orbweave.llm.bloom import needed
+from orbweave.llm.common import WORD, remove, shared_folder, small_batches, written
+from orbweave.llm.textops import PIECE, TABLE, U, column_bytes, mix, pieces, powers, words
+
+
+@dataclass(frozen=True)
+class Unit:
+    """What tokens are, how many a window has, how many a gram, and how many starts are in a band."""
+
+    token: str
+    depth: int
+    gram: int
+    band: int
 
-DEPTH = 400
-GRAM = 100
+
+BYTES, WORDS = Unit("byte", 400, 100, 75), Unit("word", 50, 10, 10)
 PLACE_BITS = 24
-#: Hashes of texts are broadcast up to this many, else joined by a shuffle.
-BROADCAST_TEXTS = 1_000_000
+#: One text in so many is looked at for frequent grams; a gram is frequent that makes up one run in MANY of those.
+SAMPLED, MANY = 64, 5000
+#: A frequent gram is dealt to so many buckets.
+SALTS = 256
+
+
+class Hashes:
+    """Hashes of any windows of a sequence of 64-bit tokens, as differences of running sums."""
+
+    def __init__(self, values: np.ndarray):
+        self.sums = np.zeros(len(values) + 1, dtype=U)
+        np.cumsum(values * powers(len(values)), out=self.sums[1:])
+
+    def windows(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * powers(len(self.sums), inverse=True)[starts])
+
+
+def tokens(column, unit: Unit) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of all texts of an Arrow column end to end (bytes as they are, words as hashes), and where each text begins."""
+    data, offsets = column_bytes(column)
+    if unit.token == "byte":
+        return data, offsets
+    hashes, counts = words(data, offsets)
+    return hashes, np.concatenate(([0], np.cumsum(counts)))
+
+
+def _values(part: np.ndarray) -> np.ndarray:
+    return TABLE[part] if part.dtype == np.uint8 else part
 
 
 def picked(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -51,88 +94,104 @@ def picked(hashes: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(behind[:count], ahead[width - 1 : width - 1 + count]) & U((1 << PLACE_BITS) - 1)).astype(np.int64)
 
 
-def runs_of(data: np.ndarray, offsets: np.ndarray, depth: int = DEPTH, gram: int = GRAM):
-    """(text, first start, last start, gram hash, run hash) of the runs of windows of each text.
-
-    Starts count from the beginning of the text; texts lie end to end in data.
+def runs_of(values: np.ndarray, offsets: np.ndarray, unit: Unit):
+    """The runs of windows of each text, as arrays: text, first start, last start and anchor (from the
+    beginning of the text), gram hash, run hash, the first band of starts and how many, and all cores' hashes.
     """
-    if len(data) < depth:
-        return tuple(np.zeros(0, dtype=d) for d in (np.int64, np.int64, np.int64, U, U))
-    prefix = Prefix(data)
-    at = np.arange(len(data) - gram + 1)
-    grams = prefix.windows(at, at + gram)
-    place = picked(grams, depth - gram + 1)
+    nothing = tuple(np.zeros(0, dtype=d) for d in (np.int64, np.int64, np.int64, np.int64, U, U, np.int64, np.int64, np.int32))
+    if len(values) < unit.depth:
+        return nothing
+    hashes = Hashes(values)
+    at = np.arange(len(values) - unit.gram + 1)
+    grams = hashes.windows(at, at + unit.gram)
+    place = picked(grams, unit.depth - unit.gram + 1)
     starts = np.arange(len(place))
     owner = np.searchsorted(offsets, starts, side="right") - 1
-    inside = starts + depth <= offsets[owner + 1]
+    inside = starts + unit.depth <= offsets[owner + 1]
     starts, place, owner = starts[inside], place[inside], owner[inside]
     if not len(starts):
-        return tuple(np.zeros(0, dtype=d) for d in (np.int64, np.int64, np.int64, U, U))
+        return nothing
     new = np.concatenate(([True], (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])))
-    first = starts[new]
-    last = starts[np.concatenate((new[1:], [True]))]
-    of = owner[new]
-    return of, first - offsets[of], last - offsets[of], grams[place[new]], prefix.windows(first, last + depth)
-
-
-def portions(data: np.ndarray, offsets: np.ndarray, depth: int = DEPTH) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first text, start in it, bytes, offsets) of about PIECE bytes; long texts overlap by a window."""
-    for first, last in pieces(offsets):
+    first, last = starts[new], starts[np.concatenate((new[1:], [True]))]
+    of, anchor = owner[new], place[new]
+    band = (anchor - last) // unit.band
+    bands = (anchor - first) // unit.band - band + 1
+    row = np.repeat(np.arange(len(of)), bands)
+    k = band[row] + np.arange(len(row)) - np.repeat(np.cumsum(bands) - bands, bands)
+    cores = (hashes.windows(anchor[row] - k * unit.band, anchor[row] + unit.depth - (k + 1) * unit.band) >> U(33)).astype(np.int32)
+    return of, first - offsets[of], last - offsets[of], anchor - offsets[of], grams[anchor], hashes.windows(first, last + unit.depth), band, bands, cores
+
+
+def portions(values: np.ndarray, offsets: np.ndarray, unit: Unit) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, start in it, tokens, offsets) of about PIECE tokens; long texts overlap by a window."""
+    for first, last in pieces(offsets, PIECE):
         begin, end = int(offsets[first]), int(offsets[last])
         if last == first + 1 and end - begin > PIECE:
-            for at in range(0, max(1, end - begin - depth + 1), PIECE):
-                part = data[begin + at : min(end, begin + at + PIECE + depth - 1)]
+            for at in range(0, max(1, end - begin - unit.depth + 1), PIECE):
+                part = values[begin + at : min(end, begin + at + PIECE + unit.depth - 1)]
                 yield first, at, part, np.array([0, len(part)])
         else:
-            yield first, 0, data[begin:end], offsets[first : last + 1] - begin
+            yield first, 0, values[begin:end], offsets[first : last + 1] - begin
 
 
-RUN = "gram long, run long, th long, first long, last long"
+RUN = "gram long, salt int, run long, th long, first int, last int, anchor int, band int, cores array<int>"
 
 
-def _runs(batches: Iterator) -> Iterator:
-    """Rows (th, text) to RUN."""
+def _runs(batches: Iterator, unit: Unit, frequent=None) -> Iterator:
+    """Rows (th, text) to RUN; each task gives a text once."""
     import pyarrow as pa
 
+    hot = np.zeros(0, dtype=np.int64) if frequent is None else frequent.value
+    seen: set = set()
     for batch in batches:
         keys = batch.column(0).to_numpy()
-        for text, at, data, offsets in portions(*column_bytes(batch.column(1))):
-            of, first, last, gram, run = runs_of(data, offsets)
+        fresh = np.zeros(len(keys), dtype=bool)
+        for i, th in enumerate(keys.tolist()):
+            if th not in seen:
+                seen.add(th)
+                fresh[i] = True
+        keys = keys[fresh]
+        for text, at, part, offsets in portions(*tokens(batch.column(1).filter(pa.array(fresh)), unit), unit):
+            of, first, last, anchor, gram, run, band, bands, cores = runs_of(_values(part), offsets, unit)
+            gram, run = gram.view(np.int64), run.view(np.int64)
+            salt = np.where(np.isin(gram, hot), run % SALTS + 1, 0)
+            ints = lambda x: pa.array(x.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(gram.view(np.int64)), pa.array(run.view(np.int64)), pa.array(keys[text + of]), pa.array(first + at), pa.array(last + at)],
-                names=["gram", "run", "th", "first", "last"])
+                [pa.array(gram), ints(salt), pa.array(run), pa.array(keys[text + of]), ints(first + at), ints(last + at), ints(anchor + at), ints(band),
+                 pa.ListArray.from_arrays(ints(np.concatenate(([0], np.cumsum(bands)))), pa.array(cores))],
+                names=[c.split()[0] for c in RUN.split(", ")])
 
 
-def _windows(batches: Iterator) -> Iterator:
-    """Rows (th, text, runs array<struct<first, last, weight>>) to (th, first, weight, windows)."""
+def _windows(batches: Iterator, unit: Unit) -> Iterator:
+    """Rows (th, text, open array<struct<low, high, weight>>) to (th, start, weight, w1, w2), a row a start."""
     import pyarrow as pa
 
     for batch in batches:
-        data, offsets = column_bytes(batch.column(1))
-        rows = []
-        for i, (th, runs) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-            text = data[offsets[i] : offsets[i + 1]]
-            runs.sort(key=lambda r: r["first"])
+        values, offsets = tokens(batch.column(1), unit)
+        for i, (th, spans) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            text = values[offsets[i] : offsets[i + 1]]
+            spans.sort(key=lambda r: r["low"])
             k = 0
-            while k < len(runs):  # neighbouring runs of at most PIECE bytes are hashed together
-                low, to = runs[k]["first"], k
-                while to < len(runs) and runs[to]["last"] - low < PIECE:
+            while k < len(spans):  # neighbouring spans of at most PIECE tokens are hashed together
+                low, to = spans[k]["low"], k
+                while to < len(spans) and spans[to]["high"] - low < PIECE:
                     to += 1
                 to = max(to, k + 1)
-                prefix = Prefix(text[low : runs[to - 1]["last"] + DEPTH])
-                for r in runs[k:to]:
-                    starts = np.arange(r["first"] - low, r["last"] - low + 1)
-                    rows.append((th, r["first"], r["weight"], prefix.windows(starts, starts + DEPTH).view(np.int64)))
+                starts = np.concatenate([np.arange(r["low"], r["high"] + 1) for r in spans[k:to]])
+                weight = np.repeat([r["weight"] for r in spans[k:to]], [r["high"] - r["low"] + 1 for r in spans[k:to]])
+                part = _values(text[low : int(starts.max()) + unit.depth])
+                one = Hashes(part).windows(starts - low, starts - low + unit.depth)
+                two = Hashes(mix(part ^ U(0xA0761D6478BD642F))).windows(starts - low, starts - low + unit.depth)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(starts), th, dtype=np.int64)), pa.array(starts.astype(np.int32)), pa.array(weight.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
+                    names=["th", "start", "weight", "w1", "w2"])
                 k = to
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-        columns = zip(*rows, strict=True) if rows else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["th", "first", "weight", "windows"])
 
 
 REST = "th long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def removed(size: int, repeated: list, depth: int = DEPTH) -> np.ndarray:
+def removed(size: int, repeated: list, depth: int) -> np.ndarray:
     """Which bytes lie in windows that start in one of the ranges (first, last)."""
     edge = np.zeros(size + 1, dtype=np.int64)
     np.add.at(edge, [r["first"] for r in repeated], 1)
@@ -149,7 +208,7 @@ def _remove(batches: Iterator, with_text: bool) -> Iterator:
         rows = []
         for i, (th, repeated) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
             text = data[offsets[i] : offsets[i + 1]]
-            gone = removed(len(text), repeated)
+            gone = removed(len(text), repeated, BYTES.depth)
             spans = int(np.count_nonzero(gone & ~np.concatenate(([False], gone[:-1]))))
             left = text[~gone].tobytes()
             rows.append((th, int(gone.sum()), spans, hashlib.sha256(left).hexdigest(), *([left] if with_text else [])))
@@ -160,44 +219,82 @@ def _remove(batches: Iterator, with_text: bool) -> Iterator:
 
 
 def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """One row (th, text) for each th of wanted, joined with its other columns."""
-    ids = cut(wanted.select("th").distinct())
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_TEXTS else ids
-    return texts.join(few, "th").dropDuplicates(["th"]).join(wanted, "th")
-
-
-def repeated_ranges(texts: DataFrame) -> DataFrame:
-    """(th, repeated): the ranges of starts of repeated windows in each of texts (th, text)."""
-    long_ones = texts.filter(F.octet_length("text") >= DEPTH)
-    runs = (long_ones.mapInArrow(_runs, RUN).repartition("gram").groupBy("gram", "run", "th", "first", "last").agg(F.count(F.lit(1)).alias("copies")))
-    equal = Window.partitionBy("gram", "run")
-    shared = cut(
-        runs.withColumn("same", F.sum("copies").over(equal))
-        .withColumn("rank", F.row_number().over(equal.orderBy("th", "first")))
-        .withColumn("all", F.sum("copies").over(Window.partitionBy("gram")))
-        .filter("all > 1").select("th", "first", "last", "same", "all", "rank"))
+    """One row (th, text) for each th of the table wanted, joined with its other column. Only texts that may be wanted move."""
+    return needed(texts, wanted.select(F.col("th").alias("h")), wanted.count()).groupBy("th").agg(F.any_value("text").alias("text")).join(wanted, "th")
+
+
+def frequent_grams(texts: DataFrame, unit: Unit, path: str) -> np.ndarray:
+    """Hashes of fewer than MANY grams that a sample of texts has most often. They only decide how runs are dealt."""
+    sample = texts.filter(F.pmod(F.xxhash64("th"), F.lit(SAMPLED)) == 0).mapInArrow(partial(_runs, unit=unit), RUN)
+    counts = written(sample.groupBy("gram").count(), path)
+    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    return np.array(sorted(r.gram for r in counts.filter(F.col("count") > max(8, total // MANY)).collect()), dtype=np.int64)
+
+
+def repeated_ranges(texts: DataFrame, unit: Unit, folder: str) -> DataFrame:
+    """(th, repeated): the ranges of starts of repeated windows in each of texts (th, text), a table in folder."""
+    spark = texts.sparkSession
+    long_ones = texts.filter(F.octet_length("text") >= (unit.depth if unit.token == "byte" else 2 * unit.depth - 1))
+    frequent = spark.sparkContext.broadcast(frequent_grams(long_ones, unit, f"{folder}/grams"))
+
+    # the first digit
+    equal, bucket = Window.partitionBy("gram", "salt", "run"), Window.partitionBy("gram", "salt")
+    shared = written(
+        long_ones.mapInArrow(partial(_runs, unit=unit, frequent=frequent), RUN).repartition("gram", "salt").distinct()
+        .withColumn("rank", F.row_number().over(equal.orderBy("th", "first"))).withColumn("same", F.count(F.lit(1)).over(equal)).withColumn("all", F.count(F.lit(1)).over(bucket))
+        .filter("all > 1 or salt > 0"), f"{folder}/shared")
+    frequent.destroy()
     whole = shared.filter("same > 1").select("th", "first", "last")
-    open_runs = (shared.filter("same < all and rank = 1")
-                 .groupBy("th").agg(F.collect_list(F.struct("first", "last", F.col("same").alias("weight"))).alias("runs")))
-    windows = (_texts_of(long_ones, open_runs).select("th", "text", "runs").mapInArrow(_windows, "th long, first long, weight long, windows array<long>")
-               .select("th", "first", "weight", F.posexplode("windows").alias("step", "window")))
-    single = (windows.withColumn("all", F.sum("weight").over(Window.partitionBy("window")))
-              .filter("all > 1 and weight = 1").select("th", (F.col("first") + F.col("step")).alias("first")).withColumn("last", F.col("first")))
-    return whole.unionAll(single).groupBy("th").agg(F.collect_list(F.struct("first", "last")).alias("repeated"))
+
+    # the second digit
+    cores = (shared.filter("rank = 1 and (same < all or salt > 0)")
+             .select("gram", "th", "first", "last", "anchor", "band", F.least("same", F.lit(2)).cast("int").alias("weight"), F.posexplode("cores").alias("k", "core")).withColumn("band", F.col("band") + F.col("k")))
+    twice = cores.groupBy("gram", "band", "core").agg(F.count(F.lit(1)).alias("n"), F.min("weight").alias("least")).filter("n > 1 and least = 1").drop("n", "least")
+    low = F.greatest("first", F.col("anchor") - (F.col("band") + 1) * unit.band + 1)
+    high = F.least("last", F.col("anchor") - F.col("band") * unit.band)
+    spans = written(cores.join(twice, ["gram", "band", "core"]).groupBy("th").agg(F.collect_list(F.struct(low.alias("low"), high.alias("high"), "weight")).alias("open")), f"{folder}/open")
+
+    # the last digit
+    windows = written(_texts_of(long_ones, spans).select("th", "text", "open").mapInArrow(partial(_windows, unit=unit), "th long, start int, weight int, w1 long, w2 long"), f"{folder}/windows")
+    again = windows.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).filter("n > 1").drop("n")
+    single = windows.filter("weight = 1").join(again, ["w1", "w2"]).select("th", F.col("start").alias("first"), F.col("start").alias("last"))
+    found = written(whole.unionAll(single).groupBy("th").agg(F.collect_list(F.struct("first", "last")).alias("repeated")), f"{folder}/repeated")
+    for name in ("grams", "shared", "open", "windows"):
+        remove(spark, f"{folder}/{name}")
+    return found
+
+
+def _covered(unit: Unit):
+    """How many tokens lie in the windows that start in the ranges of `repeated`."""
+    grown = F.aggregate(F.array_sort("repeated"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto")), lambda s, r: F.struct(
+        (s["n"] + F.greatest(F.lit(0), r["last"] + unit.depth - F.greatest(r["first"], s["upto"]))).cast("long").alias("n"),
+        F.greatest(s["upto"], r["last"] + unit.depth).cast("long").alias("upto")))
+    return grown["n"]
 
 
 def strip_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """The rows of op3: doc_id, n_bytes, n_removed, n_spans, kept_sha256; and the bytes left if asked for."""
-    small_batches(docs.sparkSession)
+    """The rows of op3: doc_id, n_bytes, n_removed, n_spans, kept_sha256, then passage_words, how many words lie in
+    repeated passages, and in_passage, whether any do; and the bytes left if asked for."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    folder = shared_folder(spark, "substring-dedup")
     text = F.coalesce("text", F.lit(""))
     texts = docs.select(F.xxhash64(text).alias("th"), text.alias("text"))
     slim = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"),
-        *([text.cast("binary").alias("whole")] if with_text else []))
-    ranges = cut(repeated_ranges(texts))
-    rest = _texts_of(texts, ranges).select("th", "text", "repeated").mapInArrow(
+        F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), *([text.cast("binary").alias("whole")] if with_text else []))
+    copies = slim.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.min("th").alias("th")).filter("n > 1").select("sha", "th", F.lit(True).alias("copied"))
+    ranges = repeated_ranges(texts, BYTES, f"{folder}/bytes")
+    partly = written(ranges.join(copies, "th", "left_anti"), f"{folder}/partly")
+    passages = repeated_ranges(texts, WORDS, f"{folder}/words").select("th", _covered(WORDS).alias("passage_words"))
+    rest = _texts_of(texts, partly).select("th", "text", "repeated").mapInArrow(
         partial(_remove, with_text=with_text), REST + (", kept binary" if with_text else ""))
+    gone = F.coalesce("copied", F.lit(False)) & (F.col("n_bytes") >= BYTES.depth)
     none = F.lit(0).cast("long")
-    return slim.join(rest, "th", "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"),
-        F.coalesce("kept_sha256", "sha").alias("kept_sha256"), *([F.coalesce("kept", "whole").alias("kept")] if with_text else []))
+    in_words = F.when(F.coalesce("copied", F.lit(False)) & (F.col("n_words") >= WORDS.depth), F.col("n_words")).otherwise(F.coalesce("passage_words", none))
+    return (slim.join(copies.select("sha", "copied"), "sha", "left").join(rest, "th", "left").join(passages, "th", "left").select(
+        "doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", none)).alias("n_removed"),
+        F.when(gone, 1).otherwise(F.coalesce("n_spans", none)).cast("long").alias("n_spans"),
+        F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        in_words.alias("passage_words"), (in_words > 0).alias("in_passage"),
+        *([F.when(gone, F.lit(b"")).otherwise(F.coalesce("kept", "whole")).alias("kept")] if with_text else [])))

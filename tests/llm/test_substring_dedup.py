@@ -1,6 +1,7 @@
 """Removed bytes against a table of all windows."""
 
 import hashlib
+import re
 from collections import Counter
 
 import numpy as np
@@ -58,7 +59,7 @@ def test_long_texts_in_pieces(spark, monkeypatch):
     from orbweave.llm import substring_dedup
     monkeypatch.setattr(substring_dedup, "PIECE", 1500)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted((tuple(r) for r in strip_repeats(docs).collect()), key=str) == brute_force(rows)
+    assert sorted((tuple(r)[:5] for r in strip_repeats(docs).collect()), key=str) == brute_force(rows)
     assert strip_repeats(docs.limit(0)).count() == 0
 
 
@@ -68,3 +69,24 @@ def test_picked_is_the_first_smallest():
         h = rng.integers(0, 2**20, n).astype(np.uint64) << np.uint64(40)
         expected = [s + int(np.argmin(h[s : s + width])) for s in range(n - width + 1)]
         assert picked(h, width).tolist() == expected
+
+
+def covered_words(rows, depth=50):
+    lists = [re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) for _, t in rows]
+    seen = Counter(tuple(w[i : i + depth]) for w in lists for i in range(len(w) - depth + 1))
+    return sorted(((d, len({k for i in range(len(w) - depth + 1) if seen[tuple(w[i : i + depth])] > 1 for k in range(i, i + depth)})) for (d, _), w in zip(rows, lists, strict=True)), key=str)
+
+
+def test_passages_of_words(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+    passages = [words(n) for n in (49, 50, 51, 60, 200)]
+    rows = [(i, f"{words(rng.integers(0, 90))} {passages[i % 5] if i % 3 else ''} {words(rng.integers(0, 90))}") for i in range(60)]
+    rows += [(100, rows[1][1].upper()), (101, rows[5][1]), (None, passages[4] + " " + passages[4]), (102, None), (103, words(50)), (104, "a " * 120), (105, rows[5][1])]
+    from orbweave.llm import substring_dedup
+    monkeypatch.setattr(substring_dedup, "SAMPLED", 1)
+    monkeypatch.setattr(substring_dedup, "MANY", 400)  # some grams are dealt as frequent ones
+    got = strip_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(((r.doc_id, r.passage_words) for r in got), key=str) == covered_words(rows)
+    assert all(r.in_passage == (r.passage_words > 0) for r in got)
+    assert sorted((tuple(r)[:5] for r in got), key=str) == brute_force(rows)
