@@ -48,6 +48,8 @@ MOST_COMMON = 1 << 20
 RANGE_SHINGLES = 1 << 20
 #: Bits of the longest bitmap.
 MOST_BITS = 16384
+#: Bitmaps of up to so many words of 64 bits go along into tiles; longer ones meet only the pairs that come out.
+SIGNATURE = 8
 #: Holders of a shingle that stand before one in its order, and such that stand first, are counted as its partners in round one ...
 NEAR, FIRST = 8, 4
 #: ... of which so many, those with most shingles in common, are verified.
@@ -372,15 +374,16 @@ def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, str]:
              .agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("shingle", "main"))
     tiles = written(
         rooted.join(mixed, "shingle").select("shingle", "class", "n", "pos", "root", _band(), (F.col("root") == F.col("main")).alias("main"))
-        .join(holders.select("class", "bitmap"), "class"), f"{folder}/tiles")
+        .join(holders.select("class", F.when(F.size("bitmap") <= SIGNATURE, F.col("bitmap")).alias("bitmap")), "class"), f"{folder}/tiles")
     side = lambda c: [F.col("class").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "pos", "root", "main", "bitmap")]]
     lower = tiles.filter(STARTS).select("shingle", F.col("band").alias("tile"), *side("a"))
     upper = tiles.select("shingle", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("tile"), *side("b"))
     meet = lambda x, y: (x.join(y, ["shingle", "tile"])
                          .filter(f"root_a <> root_b and (n_a < n_b or n_a = n_b and a < b) and {_sizes_allow('n_a', 'n_b')} and {_can_start('n_a', 'pos_a', 'n_b', 'pos_b')}"
-                                 f" and {_bound_holds('bitmap_a', 'bitmap_b', 'n_a', 'n_b')}").select("a", "b"))
+                                 f" and coalesce({_bound_holds('bitmap_a', 'bitmap_b', 'n_a', 'n_b')}, true)").select("a", "b"))
     left = meet(lower, upper.filter("not main_b")).unionAll(meet(lower.filter("not main_a"), upper.filter("main_b"))).distinct()
-    rest = written(left.select("a", "b", *_either_way()).join(tried.select(*_either_way()), ["low", "high"], "left_anti").select("a", "b"), f"{folder}/rest")
+    fresh = left.select("a", "b", *_either_way()).join(tried.select(*_either_way()), ["low", "high"], "left_anti").select("a", "b")
+    rest = promising(fresh, holders, f"{folder}/rest")
     roots = _merged(first, verify(rest, holders, docs, f"{folder}/second"), folder)
     for name in ("held", "tried", "first-sent", "first", "roots", "tiles", "rest", "second-sent", "second", "between", "between-roots"):
         remove(spark, f"{folder}/{name}")
