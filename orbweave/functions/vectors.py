@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.functions.hashing import fnv1a_bucket
+from orbweave.functions.hashing import BASIS, PRIME
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -23,17 +27,32 @@ def mean_pool(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.select(key, F.posexplode(vector).alias("position", "x")).groupBy(key, "position").agg(F.avg(F.col("x").cast("double")).alias("mean"))
 
 
-def ngrams(text: Column, n: int = 3) -> Column:
-    """The code points of each n-gram of characters, as structs c0, c1, ...; a shorter text is one n-gram
-    whose last points are null, and an empty one has none."""
-    points = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
-    # an array of one binds the points to a name, so that they are not computed anew for each n-gram
-    return F.when(F.length(text) > 0, F.transform(F.array(points), lambda p: F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size(p) - n, F.lit(0))),
-        lambda i: F.struct(*[F.get(p, i + k).alias(f"c{k}") for k in range(n)])))[0])
-
-
-def ngram_buckets(rows: DataFrame, key: str, text: str, buckets: int = 128) -> DataFrame:
-    """(key, bucket), one row for each three-letter sequence; hashing runs in generated code."""
-    grams = rows.select(key, F.explode(ngrams(F.col(text), 3)).alias("g")).select(key, "g.*")
-    return grams.select(key, fnv1a_bucket([F.col("c0"), F.col("c1"), F.col("c2")], buckets).alias("bucket"))
+def _histograms(batches: Iterator, n: int, buckets: int) -> Iterator:
+    """Rows (key, text) to (key, bucket, n): FNV-1a over the code points of each n-gram, in numpy."""
+    import pyarrow as pa
+
+    for batch in batches:
+        rows, kinds, counts = [], [], []
+        for i, text in enumerate(batch.column(1).to_pylist()):
+            points = np.frombuffer((text or "").encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+            grams = max(len(points) - n + 1, min(len(points), 1))
+            state = np.full(grams, BASIS, dtype=np.uint64)
+            for k in range(min(n, len(points))):
+                state = (state ^ points[k : k + grams]) * np.uint64(PRIME)
+            held = np.bincount((state % np.uint64(buckets)).astype(np.int64), minlength=buckets)
+            some = np.flatnonzero(held)
+            rows.append(np.full(len(some), i))
+            kinds.append(some)
+            counts.append(held[some])
+        taken = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(taken)), pa.array(np.concatenate(kinds) if kinds else taken), pa.array(np.concatenate(counts) if counts else taken)], names=["key", "bucket", "n"])
+
+
+def ngram_histogram(rows: DataFrame, key: str, text: str, n: int = 3, buckets: int = 128) -> DataFrame:
+    """(key, bucket, n) of each row: how many of its n-grams of characters fall in each bucket that has some.
+
+    A text shorter than n is one n-gram; a null or empty one has none. No row leaves its partition.
+    """
+    kind = dict(rows.select(key).dtypes)[key]
+    return rows.select(key, text).mapInArrow(partial(_histograms, n=n, buckets=buckets), f"key {kind}, bucket long, n long").withColumnRenamed("key", key)

@@ -32,7 +32,7 @@ r AS (SELECT * FROM (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY
 k AS (SELECT s_suppkey AS name FROM supplier WHERE s_suppkey % 4 <> 1)
 """
 EVENT_EDGES = """
-e AS (SELECT DISTINCT src, dst FROM (SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst, value FROM events) WHERE value >= 195 AND src <> dst)
+e AS (SELECT DISTINCT src, dst FROM (SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL AND src <> dst)
 """
 REACH = f"""
 WITH RECURSIVE {EVENT_EDGES.strip()},
@@ -77,11 +77,11 @@ SELECT l_suppkey AS src, l_partkey AS dst, e.l_shipdate, e.l_orderkey, e.l_linen
     "scc_components": REACH + "SELECT node, component FROM s",
     "shortest_cycle_len": REACH + """,
 w(component, node, depth) AS (SELECT component, dst, 1 FROM (SELECT DISTINCT component FROM s) JOIN e ON src = component
-  UNION SELECT w.component, e.dst, depth + 1 FROM w JOIN e ON w.node = e.src JOIN s ON s.node = e.dst AND s.component = w.component WHERE w.node <> w.component AND depth < 12)
+  UNION SELECT w.component, e.dst, depth + 1 FROM w JOIN e ON w.node = e.src JOIN s ON s.node = e.dst AND s.component = w.component WHERE w.node <> w.component AND depth < (SELECT count(*) FROM s))
 SELECT component, min(depth) AS length FROM w WHERE node = component GROUP BY component""",
     "external_expansion": f"""
 WITH RECURSIVE {EVENT_EDGES.strip()},
-w(name, depth) AS (SELECT DISTINCT user_id, 0 FROM events WHERE value >= 199.5 UNION SELECT e.dst, depth + 1 FROM w JOIN e ON name = src WHERE depth < 60)
+w(name, depth) AS (SELECT DISTINCT user_id, 0 FROM events WHERE value >= 199.5 UNION SELECT e.dst, depth + 1 FROM w JOIN e ON name = src WHERE depth < (SELECT count(DISTINCT src) FROM e))
 SELECT name, min(depth) AS depth FROM w GROUP BY name""",
     "mutual_pairs": """
 WITH e AS (SELECT DISTINCT src, dst FROM (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS dst FROM events) WHERE src <> dst)
@@ -124,8 +124,13 @@ FROM (SELECT page_id, c, unnest(range(1, len(c) + 1)) AS k FROM (SELECT page_id,
     "ngram_embedding": f"""
 WITH t AS (SELECT doc_id, list_transform(string_split(text, ''), lambda c: unicode(c)) AS p FROM documents WHERE text <> ''),
 g AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(p) - 2, 1) + 1), lambda i: list_slice(p, i, i + 2))) AS g FROM t),
-b AS (SELECT doc_id, g, count(*) AS n FROM g GROUP BY doc_id, g)
-SELECT doc_id, CAST(({FNV.format(bytes="g")}) % 128 AS BIGINT) AS bucket, CAST(sum(n) AS BIGINT) AS n FROM b GROUP BY 1, 2""",
+b AS (SELECT doc_id, g, count(*) AS n FROM g GROUP BY doc_id, g),
+h AS (SELECT g, CAST(({FNV.format(bytes="g")}) % 128 AS BIGINT) AS bucket FROM (SELECT DISTINCT g FROM b))
+SELECT doc_id, bucket, CAST(sum(n) AS BIGINT) AS n FROM b JOIN h USING (g) GROUP BY 1, 2""",
+    "report_json": f"""
+WITH f AS ({LINE_RULES}), m AS (SELECT *, 'order ' || l_orderkey AS message FROM f)
+SELECT '{{"column":1,"fingerprint":"' || {fnv_hex("concat_ws('|', rule, l_suppkey, l_linenumber, 1, message)")} || '","line":' || l_linenumber || ',"message":"' || message || '","path":"' || l_suppkey
+  || '","rule":"' || rule || '","severity":"' || severity || '"}}' AS value FROM m""",
     "cosine_pairs": """
 SELECT * FROM (SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS similarity
 FROM embeddings AS a JOIN embeddings AS b ON a.label = b.label AND a.vec_id < b.vec_id) WHERE similarity >= 0.30""",
@@ -137,3 +142,5 @@ WHERE n = 1 AND event_type <> 'signup'""",
 }
 
 ORACLE["doc_state_stream"] = ORACLE["doc_state_latest"]
+for _name in ("scc_components", "shortest_cycle_len", "external_expansion"):
+    ORACLE[f"{_name}_all"] = ORACLE[_name]

@@ -11,7 +11,6 @@ from orbweave.functions import hashing, vectors
 from orbweave.operators import graph, joins, suppression
 from orbweave.plans.table_rules import TableRule, deinit_only_release, evaluate, reachable_release
 
-EDGE_VALUE = 195.0
 EXCLUDES = ("/fr/", "page=2", "m.th")
 BUDGET_CHARS = 2000
 CONTRACTS = [
@@ -163,19 +162,16 @@ def first_edge_per_pair(spark, sf_dir):
     return graph.first_edges(lines, ["l_shipdate", "l_orderkey", "l_linenumber"])
 
 
-def _event_edges(spark, sf_dir, least=None):
+def _event_edges(spark, sf_dir):
     """Each event points from its user to the user of the next event in time.
 
-    With least, only events of at least that value do, as in the SQL of three queries.
-
     The next event is found day by day, and the last of a day looks at the next day's first.
     """
-    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value", F.to_date("ts").alias("day"))
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", F.to_date("ts").alias("day"))
     within = Window.partitionBy("day").orderBy("ts", "event_id")
     firsts = events.groupBy("day").agg(F.min_by("user_id", F.struct("ts", "event_id")).alias("next_first"))
     follows = firsts.select("day", F.lead("day").over(Window.orderBy("day")).alias("next_day")).join(firsts.withColumnRenamed("day", "next_day"), "next_day").select("day", "next_first")
     led = events.withColumn("dst", F.lead("user_id").over(within)).join(follows, "day", "left")
-    led = led if least is None else led.filter(F.col("value") >= least)
     return led.select(F.col("user_id").alias("src"), F.coalesce("dst", "next_first").alias("dst")).filter("dst is not null and src <> dst").distinct()
 
 
@@ -185,18 +181,10 @@ def _cycle_lengths(edges):
 
 
 def scc_components(spark, sf_dir):
-    return graph.strong_components(_event_edges(spark, sf_dir, EDGE_VALUE))
-
-
-def scc_components_all(spark, sf_dir):
     return graph.strong_components(_event_edges(spark, sf_dir))
 
 
 def shortest_cycle_len(spark, sf_dir):
-    return _cycle_lengths(_event_edges(spark, sf_dir, EDGE_VALUE))
-
-
-def shortest_cycle_len_all(spark, sf_dir):
     return _cycle_lengths(_event_edges(spark, sf_dir))
 
 
@@ -213,10 +201,6 @@ def _expansion_seeds(spark, sf_dir):
 
 
 def external_expansion(spark, sf_dir):
-    return graph.reachable(_event_edges(spark, sf_dir, EDGE_VALUE), _expansion_seeds(spark, sf_dir))
-
-
-def external_expansion_all(spark, sf_dir):
     return graph.reachable(_event_edges(spark, sf_dir), _expansion_seeds(spark, sf_dir))
 
 
@@ -323,8 +307,7 @@ def snippet_lookup(spark, sf_dir):
 
 def ngram_embedding(spark, sf_dir):
     """Histogram of hashed three-letter sequences over whole texts, one row a bucket."""
-    buckets = vectors.ngram_buckets(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return buckets.groupBy("doc_id", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    return vectors.ngram_histogram(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 def cosine_pairs(spark, sf_dir):
@@ -378,8 +361,9 @@ def report_json(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     rule_severity_upgrade, rule_union, rule_config_override, reference_gate_null, exclude_filter, bounded_scan, suppression_accept,
     suppression_region, suppression_full, fingerprint_bytes, fingerprint_finding, baseline_kept, baseline_matched, cache_probe, ownership_edges,
-    unresolved_refs, first_edge_per_pair, scc_components, scc_components_all, shortest_cycle_len, shortest_cycle_len_all, mutual_cycles,
-    external_expansion, external_expansion_all, mutual_pairs, strongest_capture,
+    unresolved_refs, first_edge_per_pair, scc_components, shortest_cycle_len, mutual_cycles,
+    external_expansion, mutual_pairs, strongest_capture,
     upstream_class, upstream_resolve, contract_first_match, local_escape, innermost_interval, nearest_within, stale_rows, summary_counts, max_severity,
     bounded_chain, directive_scan, fact_udtf, snippet_lookup, ngram_embedding, cosine_pairs, mean_pool, leader_clusters, doc_state_latest, doc_state_stream, report_json,
 )}
+QUERIES |= {f"{f.__name__}_all": f for f in (scc_components, shortest_cycle_len, external_expansion)}  # earlier names
