@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbweave.operators import external, graph, lifetime_rules, report
-from orbweave.plans.queries import table
-from orbweave.sources import baseline, cache, config
 from orbweave.operators.store import shared_folder
+from orbweave.plans.queries import event_edges, table
+from orbweave.sources import baseline, cache, config
 
 KINDS = ("timer_block", "timer_target", "display_link", "block_observer", "sink", "assign_on", "key_path_observer", "periodic_observer", "session_delegate",
          "dispatch_handler", "user_token", "user_sink")
@@ -151,6 +151,17 @@ def external_confirmed(spark, sf_dir):
     return external.confirmed(facts(spark, sf_dir), parts)
 
 
+def expansion_budget(spark, sf_dir):
+    """Users looked up best first from those with the highest values, 256 at most; a seventh of them are the corpus."""
+    name = lambda c: F.lpad(F.col(c).cast("string"), 8, "0")
+    edges = event_edges(spark, sf_dir).select(name("src").alias("src"), name("dst").alias("dst"))
+    users = table(spark, sf_dir, "events").select(name("user_id").alias("name"), (F.col("user_id") % 5 != 0).alias("is_reference")).distinct()
+    corpus = table(spark, sf_dir, "events").filter("user_id % 7 = 0").select(name("user_id").alias("name")).distinct()
+    seeds = table(spark, sf_dir, "events").filter("value >= 199.5").select(name("user_id").alias("name"))
+    found = graph.expand_within_budget(edges, users, seeds, corpus)
+    return spark.createDataFrame([(k, n, c) for k, (n, c) in enumerate(found)], "place long, name string, confirmed boolean")
+
+
 def member_difference(spark, sf_dir):
     """Parts of an order that it has no returned line of."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("every"), F.collect_set(F.when(F.col("l_returnflag") == "R", F.col("l_partkey"))).alias("returned"))
@@ -171,5 +182,5 @@ def cache_salted(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     rules_cycles, rules_anchors, rules_tokens, rules_closures, rules_configured, rule_catalog, config_effective, baseline_round_trip, report_summary, report_lines,
-    findings_by_path, fact_graph_edges, external_upgrade, external_confirmed, member_difference, newest_time, cache_salted,
+    findings_by_path, fact_graph_edges, external_upgrade, external_confirmed, expansion_budget, member_difference, newest_time, cache_salted,
 )}

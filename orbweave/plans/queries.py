@@ -162,7 +162,7 @@ def first_edge_per_pair(spark, sf_dir):
     return graph.first_edges(lines, ["l_shipdate", "l_orderkey", "l_linenumber"])
 
 
-def _event_edges(spark, sf_dir):
+def event_edges(spark, sf_dir):
     """Each event points from its user to the user of the next event in time.
 
     The next event is found day by day, and the last of a day looks at the next day's first.
@@ -181,16 +181,16 @@ def _cycle_lengths(edges):
 
 
 def scc_components(spark, sf_dir):
-    return graph.strong_components(_event_edges(spark, sf_dir))
+    return graph.strong_components(event_edges(spark, sf_dir))
 
 
 def shortest_cycle_len(spark, sf_dir):
-    return _cycle_lengths(_event_edges(spark, sf_dir))
+    return _cycle_lengths(event_edges(spark, sf_dir))
 
 
 def mutual_cycles(spark, sf_dir):
     """Each component's cycle, at most eight links in words."""
-    edges = graph.keep(_event_edges(spark, sf_dir))
+    edges = graph.keep(event_edges(spark, sf_dir))
     shown = F.array_join(F.transform(F.slice("path", 1, 8), lambda x: x.cast("string")), " -> ")
     more = F.when(F.size("path") > 8, F.concat(F.lit(" +"), (F.size("path") - 8).cast("string"), F.lit(" more"))).otherwise("")
     return graph.component_cycles(edges, graph.strong_components(edges)).select("component", F.concat(shown, more).alias("cycle"))
@@ -201,7 +201,7 @@ def _expansion_seeds(spark, sf_dir):
 
 
 def external_expansion(spark, sf_dir):
-    return graph.reachable(_event_edges(spark, sf_dir), _expansion_seeds(spark, sf_dir))
+    return graph.reachable(event_edges(spark, sf_dir), _expansion_seeds(spark, sf_dir))
 
 
 def mutual_pairs(spark, sf_dir):
@@ -311,10 +311,8 @@ def ngram_embedding(spark, sf_dir):
 
 
 def cosine_pairs(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    side = lambda c: e.select("label", F.col("vec_id").alias(f"vec_{c}"), F.col("embedding").alias(f"e_{c}"))
-    similar = vectors.cosine(F.col("e_a"), F.col("e_b"))
-    return side("a").join(side("b"), "label").filter("vec_a < vec_b").withColumn("similarity", F.round(similar, 4)).filter("similarity >= 0.30").select("vec_a", "vec_b", "similarity")
+    similar = vectors.similar_pairs(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 0.30)
+    return similar.select(F.col("a").alias("vec_a"), F.col("b").alias("vec_b"), "similarity")
 
 
 def mean_pool(spark, sf_dir):

@@ -4,6 +4,7 @@ import datetime
 import random
 from collections import deque
 
+from orbweave.operators.graph import expand_within_budget
 from orbweave.plans.queries import QUERIES
 
 
@@ -41,3 +42,26 @@ def test_every_event_is_an_edge(spark, tmp_path):
     assert {r.name: r.depth for r in run("external_expansion_all")} == depths(edges, [51])
     cycles = {r.component: r.cycle for r in run("mutual_cycles")}
     assert set(cycles) == set(length) and cycles[20] == "20 -> 21 -> 22 -> 23 -> 24 -> 25"
+
+
+def test_expansion_stays_within_its_budget(spark):
+    rng = random.Random(6)
+    names = [f"n{i:03d}" for i in range(200)]
+    edges = [(rng.choice(names), rng.choice(names)) for _ in range(500)]
+    known = {n: rng.random() < 0.7 for n in names if rng.random() < 0.9}
+    corpus, seeds = set(rng.sample(names, 20)), rng.sample(names, 6)
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    for budget in (1, 7, 40, 256):
+        waiting, done, expected = sorted(seeds), set(), []
+        while waiting and len(expected) < budget:
+            name = waiting.pop(0)
+            if name in done:
+                continue
+            done.add(name)
+            found = known.get(name, False) and name not in corpus
+            expected.append((name, found))
+            if found:
+                waiting = sorted(waiting + [b for a, b in edges if a == name and b != a and b not in corpus and b not in done])
+        got = expand_within_budget(frame(edges, "src string, dst string"), frame(list(known.items()), "name string, is_reference boolean"), frame([(s,) for s in seeds], "name string"),
+                                   frame([(c,) for c in corpus], "name string"), budget)
+        assert got == expected
