@@ -31,17 +31,21 @@ def finding_json(findings: DataFrame) -> DataFrame:
 
 
 def sarif(findings: DataFrame, rules: list[tuple[str, str]], name: str = "orbweave") -> DataFrame:
-    """One SARIF 2.1.0 document: the run's rules and its results, as one row."""
+    """(path, value): a SARIF 2.1.0 document for each path with findings, with the run's rules and its results in order.
+
+    A document holds the findings of one path, so no task ever gathers those of a whole run.
+    """
     location = F.struct(F.struct(
         F.struct(F.col("path").alias("uri")).alias("artifactLocation"), F.struct(F.col("line").alias("startLine"), F.col("col").alias("startColumn")).alias("region")).alias("physicalLocation"))
     result = F.struct(
         F.col("rule").alias("ruleId"), F.col("severity").alias("level"), F.struct(F.concat_ws(" - ", "message", "note").alias("text")).alias("message"),
         F.array(location).alias("locations"), F.struct(fingerprint().alias("primary")).alias("partialFingerprints"))
-    order = F.struct("path", "line", "col", "rule")
-    results = findings.select(F.struct(order.alias("order"), result.alias("result")).alias("r")).agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["result"]).alias("results"))
+    order = F.struct("line", "col", "rule", "message", "severity")
+    results = (findings.select("path", F.struct(order.alias("order"), result.alias("result")).alias("r")).groupBy("path")
+               .agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["result"]).alias("results")))
     described = F.array(*[F.struct(F.lit(i).alias("id"), F.struct(F.lit(s).alias("text")).alias("shortDescription")) for i, s in rules])
     run = F.struct(F.struct(F.struct(F.lit(name).alias("name"), described.alias("rules")).alias("driver")).alias("tool"), F.col("results"))
-    return results.select(F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("value"))
+    return results.select("path", F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("value"))
 
 
 def summary(findings: DataFrame) -> DataFrame:

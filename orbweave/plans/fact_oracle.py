@@ -94,6 +94,11 @@ SELECT path, type, rule, line, col FROM p WHERE fingerprint NOT IN (SELECT finge
   (SELECT count_if(detail IS NULL AND c_custkey % 10 = 7) FROM n) AS cache_hits, (SELECT count_if(detail IS NOT NULL OR c_custkey % 10 <> 7) FROM n) AS cache_misses FROM f""",
     "report_lines": f"""WITH {BASE} f AS ({_union(*ANCHORS)}), {FILES} SELECT path || ':' || line || ':' || col || ': ' || severity || ': [' || rule || '] ' || message || ' - ' || note AS value FROM f
 UNION ALL SELECT path || ':1:1: warning: file skipped: ' || detail FROM n WHERE detail IS NOT NULL""",
+    "report_sarif": f"""WITH {BASE} f AS ({_union(*CYCLES)}), p AS (SELECT *, {fnv_hex("concat_ws('|', rule, path, line, col, message)")} AS fingerprint FROM f)
+SELECT path, '2.1.0' AS version, CAST(14 AS BIGINT) AS n_rules, count(*) AS n_results, string_agg(rule || ' ' || severity || ' ' || fingerprint, ',' ORDER BY line, col, rule, message, severity) AS results FROM p GROUP BY path""",
+    "doc_state_log": """
+SELECT user_id, event_id, CASE event_type WHEN 'signup' THEN 'close' ELSE 'change' END AS kind, CASE WHEN event_type <> 'signup' THEN value END AS value
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type IN ('signup', 'click', 'purchase')) WHERE n = 1""",
     "findings_by_path": f"{EVERY} SELECT path, count(*) AS n, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules FROM f GROUP BY path",
     "fact_graph_edges": f"""WITH {BASE} p AS (SELECT type AS src, CAST(unnest([l_partkey, l_orderkey]) AS VARCHAR) AS dst, ({_list(NAMES)})[l_suppkey % 4 + 1] AS property, line, col
   FROM i WHERE role = 3 AND ref AND l_returnflag <> 'R' AND (l_tax > 0.05 OR NOT model))

@@ -13,6 +13,7 @@ from orbweave.operators import external, graph, lifetime_rules, report
 from orbweave.operators.store import shared_folder
 from orbweave.plans.queries import event_edges, table
 from orbweave.sources import baseline, cache, config
+from orbweave.streaming import doc_state
 
 KINDS = ("timer_block", "timer_target", "display_link", "block_observer", "sink", "assign_on", "key_path_observer", "periodic_observer", "session_delegate",
          "dispatch_handler", "user_token", "user_sink")
@@ -127,6 +128,16 @@ def report_lines(spark, sf_dir):
     return report.report_lines(rules_anchors(spark, sf_dir), _files(spark, sf_dir).filter("detail is not null"))
 
 
+def report_sarif(spark, sf_dir):
+    """What is read back from the SARIF document of each path."""
+    rules = [(r.id, r.summary) for r in lifetime_rules.RULES] + [(lifetime_rules.GRAPH_RULE[0], lifetime_rules.GRAPH_RULE[2])]
+    shape = "version string, runs array<struct<tool: struct<driver: struct<rules: array<struct<id: string>>>>, results: array<struct<ruleId: string, level: string, partialFingerprints: struct<primary: string>>>>>"
+    read = report.sarif(rules_cycles(spark, sf_dir), rules).select("path", F.from_json("value", shape).alias("d")).select("path", "d.version", F.col("d.runs")[0].alias("run"))
+    results = F.col("run.results")
+    return read.select("path", "version", F.size("run.tool.driver.rules").cast("long").alias("n_rules"), F.size(results).cast("long").alias("n_results"),
+                       F.array_join(F.transform(results, lambda r: F.concat_ws(" ", r["ruleId"], r["level"], r["partialFingerprints"]["primary"])), ",").alias("results"))
+
+
 def findings_by_path(spark, sf_dir):
     found = lifetime_rules.check_types(facts(spark, sf_dir))
     return found.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("rules"))
@@ -174,6 +185,19 @@ def newest_time(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey").join(newest, "c_custkey", "left").select("c_custkey", F.coalesce("ts", F.lit("1970-01-01").cast("timestamp")).alias("newest"))
 
 
+def doc_state_log(spark, sf_dir):
+    """The last row of the change log of each user: what an open or change left, or the tombstone of a close.
+
+    Errors stand for saves, which send the state again and change nothing.
+    """
+    folder = shared_folder(spark, "doc-log")
+    schema = table(spark, sf_dir, "events").schema
+    kind = F.when(F.col("event_type") == "signup", doc_state.CLOSE).when(F.col("event_type").isin("click", "purchase"), "change").when(F.col("event_type") == "error", doc_state.SAVE)
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet").withColumn("kind", kind).filter("kind is not null")
+    doc_state.publish(events, "user_id", ["ts", "event_id"], "value", f"{folder}/log", f"{folder}/progress").awaitTermination()
+    return doc_state.published(spark, f"{folder}/log", "user_id", ["ts", "event_id"], "value").select("user_id", "event_id", "kind", "value")
+
+
 def cache_salted(spark, sf_dir):
     """Content keys that change with the settings: names of regions as defines, of nations as contracts."""
     defines, contracts = ([r[0] for r in table(spark, sf_dir, t).select(c).collect()] for t, c in (("region", "r_name"), ("nation", "n_name")))
@@ -181,6 +205,6 @@ def cache_salted(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    rules_cycles, rules_anchors, rules_tokens, rules_closures, rules_configured, rule_catalog, config_effective, baseline_round_trip, report_summary, report_lines,
+    rules_cycles, rules_anchors, rules_tokens, rules_closures, rules_configured, rule_catalog, config_effective, baseline_round_trip, report_summary, report_lines, report_sarif, doc_state_log,
     findings_by_path, fact_graph_edges, external_upgrade, external_confirmed, expansion_budget, member_difference, newest_time, cache_salted,
 )}

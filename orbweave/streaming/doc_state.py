@@ -34,3 +34,27 @@ def follow(events: DataFrame, key: str, order: Sequence[str], values: Sequence[s
 def current(spark: SparkSession, log: str, key: str, order: Sequence[str], values: Sequence[str]) -> DataFrame:
     """The state that a change log has come to."""
     return latest(spark.read.parquet(log), key, order, values)
+
+
+CLOSE, SAVE = "close", "save"
+
+
+def publish(events: DataFrame, key: str, order: Sequence[str], value: str, log: str, progress: str) -> StreamingQuery:
+    """Start the log of what to show for each document, from a stream of opens, changes, saves and closes (kind).
+
+    A batch logs every key that it touches: the value that its latest open or change left, again after a
+    save, or a tombstone (kind close, no value) after a close. A save without anything to show logs nothing.
+    """
+    counts = F.when(F.col("kind") != SAVE, F.struct(*order))
+    shown = F.struct(*order, "kind", F.when(F.col("kind") != CLOSE, F.col(value)).alias(value))
+    state = events.groupBy(key).agg(F.max_by(shown, counts).alias("e")).filter("e is not null").select(key, "e.*")
+
+    def write(changes: DataFrame, batch: int) -> None:
+        changes.write.mode("overwrite").parquet(f"{log}/batch={batch}")
+
+    return state.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", progress).trigger(availableNow=True).start()
+
+
+def published(spark: SparkSession, log: str, key: str, order: Sequence[str], value: str) -> DataFrame:
+    """The last row that a log has of each key, tombstones too."""
+    return latest(spark.read.parquet(log), key, order, [*order, "kind", value])
