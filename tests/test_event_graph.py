@@ -4,6 +4,7 @@ import datetime
 import random
 from collections import deque
 
+from orbweave.operators import graph
 from orbweave.operators.graph import expand_within_budget
 from orbweave.plans.queries import QUERIES
 
@@ -65,3 +66,19 @@ def test_expansion_stays_within_its_budget(spark):
         got = expand_within_budget(frame(edges, "src string, dst string"), frame(list(known.items()), "name string, is_reference boolean"), frame([(s,) for s in seeds], "name string"),
                                    frame([(c,) for c in corpus], "name string"), budget)
         assert got == expected
+
+
+def test_long_chains(spark, monkeypatch):
+    """A ring of 5000, two chains that close one cycle between them, and chains that lead in and out."""
+    cuts = []
+    monkeypatch.setattr(graph, "keep", lambda df, f=graph.keep: cuts.append(1) or f(df))
+    ring = [(i, i + 1) for i in range(10_000, 14_999)] + [(14_999, 10_000)]
+    there, back = [(i, i + 1) for i in range(100, 400)], [(400, 900), *[(i, i - 1) for i in range(900, 600, -1)], (600, 100)]
+    led = [(i, i + 1) for i in range(2000, 2300)] + [(2300, 250), (350, 5000), *[(i, i + 1) for i in range(5000, 5200)]]
+    edges = spark.createDataFrame([*ring, *there, *back, *led, (1, 2), (7, 7)], "src long, dst long")
+    got = {r.node: r.component for r in graph.strong_components(edges).collect()}
+    assert got == {i: 10_000 for i in range(10_000, 15_000)} | {i: 100 for i in [*range(100, 401), *range(600, 901)]}
+    ring = edges.filter("src >= 10000")
+    paths = {r.component: r.path for r in graph.component_cycles(ring, graph.strong_components(ring)).collect()}
+    assert paths == {10_000: list(range(10_000, 15_000))}
+    assert len(cuts) < 80
