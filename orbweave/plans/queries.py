@@ -162,17 +162,24 @@ def first_edge_per_pair(spark, sf_dir):
     return graph.first_edges(lines, ["l_shipdate", "l_orderkey", "l_linenumber"])
 
 
-def event_edges(spark, sf_dir):
-    """Each event points from its user to the user of the next event in time.
+def _next_users(spark, sf_dir, *kinds):
+    """(src, dst, *kinds): the user of each event and of the next one in time that agrees in kinds.
 
-    The next event is found day by day, and the last of a day looks at the next day's first.
+    The next event is found day by day, and the last of a day looks at the next day's first, so that no
+    window holds more than a day; the days themselves are few.
     """
-    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", F.to_date("ts").alias("day"))
-    within = Window.partitionBy("day").orderBy("ts", "event_id")
-    firsts = events.groupBy("day").agg(F.min_by("user_id", F.struct("ts", "event_id")).alias("next_first"))
-    follows = firsts.select("day", F.lead("day").over(Window.orderBy("day")).alias("next_day")).join(firsts.withColumnRenamed("day", "next_day"), "next_day").select("day", "next_first")
-    led = events.withColumn("dst", F.lead("user_id").over(within)).join(follows, "day", "left")
-    return led.select(F.col("user_id").alias("src"), F.coalesce("dst", "next_first").alias("dst")).filter("dst is not null and src <> dst").distinct()
+    keys = [*kinds, "day"]
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", *kinds, F.to_date("ts").alias("day"))
+    within = Window.partitionBy(*keys).orderBy("ts", "event_id")
+    firsts = events.groupBy(*keys).agg(F.min_by("user_id", F.struct("ts", "event_id")).alias("next_first"))
+    follows = firsts.withColumn("next_first", F.lead("next_first").over(Window.partitionBy(*kinds).orderBy("day")))
+    led = events.withColumn("dst", F.lead("user_id").over(within)).join(follows, keys, "left")
+    return led.select(F.col("user_id").alias("src"), F.coalesce("dst", "next_first").alias("dst"), *kinds).filter("dst is not null and src <> dst")
+
+
+def event_edges(spark, sf_dir):
+    """Each event points from its user to the user of the next event in time."""
+    return _next_users(spark, sf_dir).distinct()
 
 
 def _cycle_lengths(edges):
@@ -205,9 +212,7 @@ def external_expansion(spark, sf_dir):
 
 
 def mutual_pairs(spark, sf_dir):
-    edges = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id")
-    along = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    edges = edges.select(F.col("user_id").alias("src"), F.lead("user_id").over(along).alias("dst")).filter("dst is not null and src <> dst").distinct()
+    edges = _next_users(spark, sf_dir, "event_type").select("src", "dst").distinct()
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return edges.join(back, ["src", "dst"], "left_semi").filter("src < dst")
 
