@@ -8,8 +8,8 @@ from an anchor outwards, not from the left, so that neighbouring suffixes go thr
 1. The first digit of a window is the smallest hash of its grams, its anchor. Neighbouring windows that
    have the same one form a run, and runs are sorted, about one for (depth - gram) / 2 suffixes. Runs that
    agree in all their tokens are repeated as a whole, and one of them stands for all from there on.
-2. The second digit is the core: windows that start in one band before the anchor have a part in common,
-   all but a band's length of the depth. Bands whose core occurs once leave.
+2. The second digit is the core: windows that start in one band of places before the anchor have a part in
+   common, all but a band's length of the depth. Bands whose core occurs once leave.
 3. The last digit is the whole window, 128 bits of hash, of each start in the bands that are left.
 
 Grams that a sample finds to be frequent are dealt by run as well, so that no bucket of step 1 is large;
@@ -49,7 +49,7 @@ class Unit:
     band: int
 
 
-BYTES, WORDS = Unit("byte", 400, 100, 75), Unit("word", 50, 10, 10)
+BYTES, WORDS = Unit("byte", 400, 100, 25), Unit("word", 50, 10, 10)
 PLACE_BITS = 24
 #: One text in so many is looked at for frequent grams; a gram is frequent that makes up one run in MANY of those.
 SAMPLED, MANY = 64, 5000
@@ -191,24 +191,24 @@ def _windows(batches: Iterator, unit: Unit) -> Iterator:
 REST = "th long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def removed(size: int, repeated: list, depth: int) -> np.ndarray:
-    """Which bytes lie in windows that start in one of the ranges (first, last)."""
+def removed(size: int, repeated: np.ndarray, depth: int) -> np.ndarray:
+    """Which bytes lie in windows that start in one of the ranges."""
     edge = np.zeros(size + 1, dtype=np.int64)
-    np.add.at(edge, [r["first"] for r in repeated], 1)
-    np.add.at(edge, [r["last"] + depth for r in repeated], -1)
+    np.add.at(edge, repeated >> 32, 1)
+    np.add.at(edge, (repeated & 0xFFFFFFFF) + depth, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
 def _remove(batches: Iterator, with_text: bool) -> Iterator:
-    """Rows (th, text, repeated array<struct<first, last>>) to REST, and the bytes left if asked for."""
+    """Rows (th, text, repeated array<long>) to REST, and the bytes left if asked for."""
     import pyarrow as pa
 
     for batch in batches:
         data, offsets = column_bytes(batch.column(1))
         rows = []
-        for i, (th, repeated) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+        for i, (th, repeated) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), strict=True)):
             text = data[offsets[i] : offsets[i + 1]]
-            gone = removed(len(text), repeated, BYTES.depth)
+            gone = removed(len(text), repeated.values.to_numpy(), BYTES.depth)
             spans = int(np.count_nonzero(gone & ~np.concatenate(([False], gone[:-1]))))
             left = text[~gone].tobytes()
             rows.append((th, int(gone.sum()), spans, hashlib.sha256(left).hexdigest(), *([left] if with_text else [])))
@@ -232,7 +232,10 @@ def frequent_grams(texts: DataFrame, unit: Unit, path: str) -> np.ndarray:
 
 
 def repeated_ranges(texts: DataFrame, unit: Unit, folder: str) -> DataFrame:
-    """(th, repeated): the ranges of starts of repeated windows in each of texts (th, text), a table in folder."""
+    """(th, repeated): the ranges of starts of repeated windows in each of texts (th, text), a table in folder.
+
+    A range from first to last is the number first * 2**32 + last.
+    """
     spark = texts.sparkSession
     long_ones = texts.filter(F.octet_length("text") >= (unit.depth if unit.token == "byte" else 2 * unit.depth - 1))
     frequent = spark.sparkContext.broadcast(frequent_grams(long_ones, unit, f"{folder}/grams"))
@@ -258,7 +261,8 @@ def repeated_ranges(texts: DataFrame, unit: Unit, folder: str) -> DataFrame:
     windows = written(_texts_of(long_ones, spans).select("th", "text", "open").mapInArrow(partial(_windows, unit=unit), "th long, start int, weight int, w1 long, w2 long"), f"{folder}/windows")
     again = windows.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).filter("n > 1").drop("n")
     single = windows.filter("weight = 1").join(again, ["w1", "w2"]).select("th", F.col("start").alias("first"), F.col("start").alias("last"))
-    found = written(whole.unionAll(single).groupBy("th").agg(F.collect_list(F.struct("first", "last")).alias("repeated")), f"{folder}/repeated")
+    span = F.shiftleft(F.col("first").cast("long"), 32) + F.col("last")  # one number, as texts may have many
+    found = written(whole.unionAll(single).groupBy("th").agg(F.collect_list(span).alias("repeated")), f"{folder}/repeated")
     for name in ("grams", "shared", "open", "windows"):
         remove(spark, f"{folder}/{name}")
     return found
@@ -266,9 +270,10 @@ def repeated_ranges(texts: DataFrame, unit: Unit, folder: str) -> DataFrame:
 
 def _covered(unit: Unit):
     """How many tokens lie in the windows that start in the ranges of `repeated`."""
+    first, last = (lambda r: F.shiftright(r, 32)), (lambda r: r.bitwiseAND(0xFFFFFFFF))
     grown = F.aggregate(F.array_sort("repeated"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto")), lambda s, r: F.struct(
-        (s["n"] + F.greatest(F.lit(0), r["last"] + unit.depth - F.greatest(r["first"], s["upto"]))).cast("long").alias("n"),
-        F.greatest(s["upto"], r["last"] + unit.depth).cast("long").alias("upto")))
+        (s["n"] + F.greatest(F.lit(0), last(r) + unit.depth - F.greatest(first(r), s["upto"]))).cast("long").alias("n"),
+        F.greatest(s["upto"], last(r) + unit.depth).cast("long").alias("upto")))
     return grown["n"]
 
 
