@@ -134,11 +134,23 @@ def portions(values: np.ndarray, offsets: np.ndarray, unit: Unit) -> Iterator[tu
             yield first, 0, values[begin:end], offsets[first : last + 1] - begin
 
 
+def _third_and_later(gram: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Places of runs that two equal ones came before."""
+    order = np.lexsort((run, gram))
+    new = np.concatenate(([True], (gram[order][1:] != gram[order][:-1]) | (run[order][1:] != run[order][:-1])))[: len(order)]
+    at = np.arange(len(order))
+    return order[at - np.maximum.accumulate(np.where(new, at, 0)) > 1]
+
+
 RUN = "gram long, salt int, run long, th long, first int, last int, anchor int, band int, cores array<int>"
 
 
 def _runs(batches: Iterator, unit: Unit, frequent=None) -> Iterator:
-    """Rows (th, text) to RUN; each task gives a text once."""
+    """Rows (th, text) to RUN; each task gives a text once.
+
+    Of equal runs that are met together, two go to the bucket of their gram; the others, which are known
+    to be repeated by then, get a negative salt and are spread, so that no run fills a bucket.
+    """
     import pyarrow as pa
 
     hot = np.zeros(0, dtype=np.int64) if frequent is None else frequent.value
@@ -155,6 +167,8 @@ def _runs(batches: Iterator, unit: Unit, frequent=None) -> Iterator:
             of, first, last, anchor, gram, run, band, bands, cores = runs_of(_values(part), offsets, unit)
             gram, run = gram.view(np.int64), run.view(np.int64)
             salt = np.where(np.isin(gram, hot), run % SALTS + 1, 0)
+            again = _third_and_later(gram, run)
+            salt[again] = -1 - keys[text + of[again]] % SALTS
             ints = lambda x: pa.array(x.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(gram), ints(salt), pa.array(run), pa.array(keys[text + of]), ints(first + at), ints(last + at), ints(anchor + at), ints(band),
@@ -245,12 +259,12 @@ def repeated_ranges(texts: DataFrame, unit: Unit, folder: str) -> DataFrame:
     shared = written(
         long_ones.mapInArrow(partial(_runs, unit=unit, frequent=frequent), RUN).repartition("gram", "salt").distinct()
         .withColumn("rank", F.row_number().over(equal.orderBy("th", "first"))).withColumn("same", F.count(F.lit(1)).over(equal)).withColumn("all", F.count(F.lit(1)).over(bucket))
-        .filter("all > 1 or salt > 0"), f"{folder}/shared")
+        .filter("all > 1 or salt <> 0"), f"{folder}/shared")
     frequent.destroy()
-    whole = shared.filter("same > 1").select("th", "first", "last")
+    whole = shared.filter("same > 1 or salt < 0").select("th", "first", "last")
 
     # the second digit
-    cores = (shared.filter("rank = 1 and (same < all or salt > 0)")
+    cores = (shared.filter("rank = 1 and (same < all and salt = 0 or salt > 0)")
              .select("gram", "th", "first", "last", "anchor", "band", F.least("same", F.lit(2)).cast("int").alias("weight"), F.posexplode("cores").alias("k", "core")).withColumn("band", F.col("band") + F.col("k")))
     twice = cores.groupBy("gram", "band", "core").agg(F.count(F.lit(1)).alias("n"), F.min("weight").alias("least")).filter("n > 1 and least = 1").drop("n", "least")
     low = F.greatest("first", F.col("anchor") - (F.col("band") + 1) * unit.band + 1)

@@ -82,6 +82,7 @@ def test_passages_of_words(spark, monkeypatch):
     words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
     passages = [words(n) for n in (49, 50, 51, 60, 200)]
     rows = [(i, f"{words(rng.integers(0, 90))} {passages[i % 5] if i % 3 else ''} {words(rng.integers(0, 90))}") for i in range(60)]
+    rows += [(200 + i, f"{words(7)} {passages[4]} {words(i)}") for i in range(12)]  # equal runs in many texts
     rows += [(100, rows[1][1].upper()), (101, rows[5][1]), (None, passages[4] + " " + passages[4]), (102, None), (103, words(50)), (104, "a " * 120), (105, rows[5][1])]
     from orbweave.llm import substring_dedup
     monkeypatch.setattr(substring_dedup, "SAMPLED", 1)
