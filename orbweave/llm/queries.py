@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm import url_filter
+from orbweave.llm import prefix_trie, url_filter
 from orbweave.llm.chat import chat_digests
 from orbweave.llm.common import table
 from orbweave.llm.exact_dedup import duplicate_groups
@@ -64,10 +64,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_rows(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_fingerprint, op2_ngram_join, op3_suffix_dedup, op4_exact_dedup, op5_mix_sources, op6_url_filter,
     op7_chat_format, op8_best_fit_packing,
-    op9_warc, op10_language_id,
+    op9_warc, op10_language_id, op11_prefix_trie,
 )}
 
 ORACLE = {
@@ -105,6 +109,7 @@ SELECT d.doc_id, d.size, b.source_size, round(b.target, 6) AS target,
 FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.hash = c.hash
 """,
     "op6_url_filter": url_filter.ORACLE_SQL,
+    "op11_prefix_trie": prefix_trie.ORACLE_SQL,
     "op7_chat_format": r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
