@@ -75,7 +75,7 @@ def test_odd_rows(spark):
 def test_one_conversation_many_times_and_a_long_one(spark, monkeypatch):
     monkeypatch.setattr(pt.end_digests, "__defaults__", (20, 2))  # two families a row: ends go over many rows
     rows = [(c, t, "user", f"same words {t}") for c in range(1000, 1700) for t in range(2)]
-    rows += [(3, t, "user", f"turn {t}") for t in range(3000)]
+    rows += [(3, t, "user", f"turn {t}") for t in range(300)]
     assert spark_rows(spark, rows) == plain(rows)
 
 
