@@ -14,6 +14,7 @@ from orbweave.llm.langid import language_rows
 from orbweave.llm.mixing import mix_plan
 from orbweave.llm.ngram_join import component_rows
 from orbweave.llm.packing import pack
+from orbweave.llm.secret_scan import secret_digests
 from orbweave.llm.substring_dedup import strip_repeats
 from orbweave.llm.warc import round_trip
 
@@ -68,10 +69,14 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_fingerprint, op2_ngram_join, op3_suffix_dedup, op4_exact_dedup, op5_mix_sources, op6_url_filter,
     op7_chat_format, op8_best_fit_packing,
-    op9_warc, op10_language_id, op11_prefix_trie,
+    op9_warc, op10_language_id, op11_prefix_trie, op12_secret_scan,
 )}
 
 ORACLE = {
