@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm import prefix_trie, url_filter
+from orbweave.llm import divergence, prefix_trie, url_filter
 from orbweave.llm.chat import chat_digests
 from orbweave.llm.common import table
 from orbweave.llm.exact_dedup import duplicate_groups
@@ -73,10 +73,14 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_fingerprint, op2_ngram_join, op3_suffix_dedup, op4_exact_dedup, op5_mix_sources, op6_url_filter,
     op7_chat_format, op8_best_fit_packing,
-    op9_warc, op10_language_id, op11_prefix_trie, op12_secret_scan,
+    op9_warc, op10_language_id, op11_prefix_trie, op12_secret_scan, op13_source_divergence,
 )}
 
 ORACLE = {
@@ -115,6 +119,7 @@ FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN c ON d.source IS NO
 """,
     "op6_url_filter": url_filter.ORACLE_SQL,
     "op11_prefix_trie": prefix_trie.ORACLE_SQL,
+    "op13_source_divergence": divergence.ORACLE_SQL,
     "op7_chat_format": r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
