@@ -3,8 +3,8 @@
 Tasks tokenise whole texts and cut those over a sequence's size; each piece gets its rank among the
 pieces of its length in its task. The driver sees only how many pieces of each length there are (at
 most one number a length) and plans patterns: for each length, from the longest, it looks up the
-single, pair or triple of lengths that fills the gap exactly, consumes as many such combinations as
-the counts allow, and packs what is left by best fit. A pattern used m times takes m consecutive
+single length that fills the gap exactly, then pairs, then triples of lengths, consumes as many such
+combinations as the counts allow, and packs what is left by best fit. A pattern used m times takes m consecutive
 ranks of each of its lengths, so every piece finds its sequence and place from its rank alone.
 
 Defined results: null text is empty, so its document is the end token alone; ids, ties and repeated
@@ -122,17 +122,19 @@ def _cut_pieces(batches: Iterator, path: str, with_ids: bool) -> Iterator:
         yield pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def _complement(gap: int, length: int, counts: np.ndarray) -> tuple | None:
-    """One, two or three lengths of which enough are left and which sum to gap, largest first."""
-    def enough(parts: tuple) -> bool:
-        return all(counts[x] >= n for x, n in Counter((length, *parts)).items())
+def _complement(gap: int, length: int, counts: np.ndarray, parts: int) -> tuple | None:
+    """So many lengths (one to three), of which enough are left and which sum to gap, largest first."""
+    def enough(found: tuple) -> bool:
+        return all(counts[x] >= n for x, n in Counter((length, *found)).items())
 
-    if enough((gap,)):
-        return (gap,)
+    if parts == 1:
+        return (gap,) if enough((gap,)) else None
     there = np.flatnonzero(counts[: gap + 1])[::-1]
-    for a in there[(there * 2 >= gap) & (counts[gap - there] > 0)]:
-        if a < gap and enough((int(a), gap - int(a))):
-            return int(a), gap - int(a)
+    if parts == 2:
+        for a in there[(there * 2 >= gap) & (counts[gap - there] > 0)]:
+            if a < gap and enough((int(a), gap - int(a))):
+                return int(a), gap - int(a)
+        return None
     for a in there[there * 3 >= gap]:
         rest = gap - int(a)
         second = there[(there <= a) & (there * 2 >= rest) & (there < rest)]
@@ -142,23 +144,22 @@ def _complement(gap: int, length: int, counts: np.ndarray) -> tuple | None:
     return None
 
 
-def plan(histogram: dict[int, int], size: int = SEQUENCE) -> list[tuple[tuple, int]]:
-    """(lengths, times) of sequences that hold all pieces; histogram: pieces by length."""
-    counts = np.zeros(size + 1, dtype=np.int64)
-    for length, n in histogram.items():
-        counts[length] = n
-    patterns: list[tuple[tuple, int]] = []
-    if counts[size]:
-        patterns.append(((size,), int(counts[size])))
-        counts[size] = 0
+def _exact(counts: np.ndarray, size: int, parts: int) -> list[tuple[tuple, int]]:
+    """Takes from counts what fills sequences exactly: a length, from the longest, and so many others."""
+    patterns = []
     for length in range(size - 1, 0, -1):
-        while counts[length] and (parts := _complement(size - length, length, counts)):
-            whole = (length, *parts)
+        while counts[length] and (found := _complement(size - length, length, counts, parts)):
+            whole = (length, *found)
             need = Counter(whole)
             times = int(min(counts[x] // n for x, n in need.items()))
             for x, n in need.items():
                 counts[x] -= n * times
             patterns.append((whole, times))
+    return patterns
+
+
+def _best_fit(counts: np.ndarray, size: int) -> list[tuple[tuple, int]]:
+    """Best fit of what counts has, longest first; equal pieces that meet equal gaps move as one."""
     open_: dict[int, list[tuple[tuple, int]]] = {}
     for length in range(size - 1, 0, -1):
         left = int(counts[length])
@@ -177,7 +178,33 @@ def plan(histogram: dict[int, int], size: int = SEQUENCE) -> list[tuple[tuple, i
                     open_[gap].append((parts, times - used))
                 open_.setdefault(gap - length, []).append(((*parts, length), used))
                 left -= used
-    return patterns + [group for groups in open_.values() for group in groups]
+    return [group for groups in open_.values() for group in groups]
+
+
+def plan(histogram: dict[int, int], size: int = SEQUENCE) -> list[tuple[tuple, int]]:
+    """(lengths, times) of sequences that hold all pieces; histogram: pieces by length.
+
+    Single complements of all lengths are consumed first, then pairs, then triples, so that small pieces
+    are not used up while larger ones fill the same gap. How far to go is open: exact fills of long pieces
+    may take the small ones that others need. So the plan is made with no, one, two and three of these
+    steps before best fit, and the one with the fewest sequences is taken (of equal ones the one with most
+    steps). Plain best fit is one of them, so no plan needs more.
+    """
+    counts = np.zeros(size + 1, dtype=np.int64)
+    for length, n in histogram.items():
+        counts[length] = n
+    full = [((size,), int(counts[size]))] if counts[size] else []
+    counts[size] = 0
+    exact: list[tuple[tuple, int]] = []
+    best, fewest = None, 0
+    for parts in range(4):
+        if parts:
+            exact += _exact(counts, size, parts)
+        whole = full + exact + _best_fit(counts, size)
+        needs = sum(times for _, times in whole)
+        if best is None or needs <= fewest:
+            best, fewest = whole, needs
+    return best
 
 
 def places(patterns: list[tuple[tuple, int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -1,12 +1,16 @@
 """Packing: every piece has one place, sequences are gapless, ids are the tokenizer's."""
 
+import os
 import zlib
+from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
+import pytest
 from tokenizers import Tokenizer
 
-from orbweave.llm.packing import END, SEQUENCE, pack, plan, tokenizer_path
+from orbweave.llm.packing import END, SEQUENCE, encoder, pack, plan, tokenizer_path
 
 TEXTS = [
     "A short text, it's only a few words.", None, "", "x<|endoftext|>y", "ünï ½ １２ 語 don't''ll  \t\n\n z", " ".join(f"word{i}" for i in range(2500)),
@@ -58,3 +62,39 @@ def test_plan_uses_each_piece_once():
                 used[x] += times
         assert used == histogram
     assert plan({600: 2, 424: 1, 300: 1, 124: 1}) == [((600, 424), 1), ((600, 300, 124), 1)]
+
+
+def plain_best_fit(histogram):
+    """How many sequences best fit takes, piece by piece from the longest."""
+    gaps = []
+    for length in sorted(histogram.elements(), reverse=True):
+        at = bisect_left(gaps, length)
+        gap = gaps.pop(at) if at < len(gaps) else SEQUENCE
+        insort(gaps, gap - length)
+    return len(gaps)
+
+
+def spreads():
+    rng = np.random.default_rng(7)
+    for k in range(20):
+        shape = rng.lognormal(rng.uniform(3, 6.5), rng.uniform(0.3, 1.5), 300 + 300 * k)
+        yield f"random {k}", Counter((np.clip(shape, 1, SEQUENCE)).astype(int).tolist())
+    encode = encoder(tokenizer_path())
+    for name in ("sf0.001", "sf0.01", "sf0.1"):
+        found = Counter()
+        for text in pq.read_table(f"/root/testdata/{name}/documents.parquet", columns=["text"]).column(0).to_pylist():
+            total = len(encode(text or "")) // 4 + 1
+            found.update([(total - 1) % SEQUENCE + 1] + [SEQUENCE] * ((total - 1) // SEQUENCE))
+        yield name, found
+
+
+@pytest.mark.parametrize(("name", "histogram"), list(spreads()) if os.path.isdir("/root/testdata/sf0.1") else [])
+def test_no_more_sequences_than_plain_best_fit(name, histogram):
+    patterns = plan(histogram)
+    used = Counter()
+    for lengths, times in patterns:
+        assert sum(lengths) <= SEQUENCE
+        for x in lengths:
+            used[x] += times
+    assert used == histogram
+    assert sum(times for _, times in patterns) <= plain_best_fit(histogram)
