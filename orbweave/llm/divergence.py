@@ -1,31 +1,35 @@
 """Source divergence audit by a two-pass vocabulary automaton.
 
 How far each source's use of words lies from the other sources of its language, and which words it uses
-more than its language does. Documents are dealt to blocks of one language of about BLOCK characters.
-Pass one finds the distinct terms of each document, and so the exact document frequency of every term;
-terms in at least LEAST documents of a language are kept. Pass two brings each block the kept terms that
-it holds, and builds an Aho-Corasick automaton of them, each between two delimiters, that recounts every
-occurrence in the block's texts. So neither the vocabulary nor an automaton of all of it is anywhere
-whole: memory is bounded by a block's terms, and texts stream behind them.
+more than its language does. Documents are dealt to ranges of (language, source, hash), so a source that
+holds most of them has many ranges, and each task cuts its own into blocks of one source of at most BLOCK
+characters. Pass one, over a block, finds the distinct terms of each document, and so the exact document
+frequency of every term; it leaves the block's terms and its text, lower-cased, blanks for what is no term,
+and compressed. Terms in at least LEAST documents of a language are kept. Pass two brings each block the
+kept terms that it holds, and an Aho-Corasick automaton of them, each between two delimiters, recounts every
+occurrence in the block's text. So neither the vocabulary nor an automaton of all of it is anywhere whole:
+memory is bounded by a block.
 
 From then on counts are sparse postings (language, term, source, count). With p(count) of a group depending
 on its count alone, the sum over all terms of a language splits into: terms that one of two groups has,
 from a histogram of its counts against the other's p(0); terms that neither has, one number; and a
-correction for terms that both have, from a join of postings. All numbers are integers.
+correction for terms that both have, from postings sorted by term. All numbers are integers.
 
 Defined results: null text, language and source are ''; terms are compared after lower-casing A-Z; each
 occurring (language, source) is a group, without terms too (its p is the same for all terms; 0 terms give
 value 0); a language with one source has no pairs; ties in value are ordered by the item's UTF-8 bytes;
 repeated rows count each; an empty table gives an empty result; columns other than text, lang, source,
-doc_id are not read. Rows that repeat text and doc_id are in one block, which streams them.
+doc_id are not read. Rows that repeat text and doc_id are in one range, which streams them.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 from operator import itemgetter
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,9 +38,9 @@ from orbweave.llm.common import shared_folder, small_batches, written
 LEAST = 3
 SCALE = 1_000_000_000
 TOP = 200
-#: Characters of a block, on average.
-BLOCK = 8_000_000
-#: Entries of the tables in which a task sums up before it writes.
+#: Bytes of a block, and of one compressed piece of it, at most (a longer document is a piece, or block, of its own).
+BLOCK, PIECE = 16_000_000, 1_000_000
+#: Pairs of groups that a task sums up before it writes.
 HELD = 200_000
 #: Groups are broadcast up to this number (a row of a few numbers each), else joined by a shuffle.
 BROADCAST_GROUPS = 20_000
@@ -49,91 +53,160 @@ def _plain(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").translate(PLAIN)
 
 
-def _batch(columns: dict, kinds: dict):
-    import pyarrow as pa
-
-    return pa.RecordBatch.from_arrays([pa.array(columns[n], type=k) for n, k in kinds.items()], names=list(kinds))
+BLOCKS = "block string, lang string, source string, term string, docs long, text binary"
 
 
-def _terms_of_blocks(batches: Iterator) -> Iterator:
-    """Pass one: (lang, block, term, docs) of (lang, block, text)."""
+def _blocks(batches: Iterator, most: int) -> Iterator:
+    """Pass one: rows (lang, source, text) come by language and source; gives terms (term, docs) and pieces of text of blocks."""
     import pyarrow as pa
-
-    kinds = {"lang": pa.string(), "block": pa.int64(), "term": pa.string(), "docs": pa.int64()}
-    held: Counter = Counter()
-
-    def out():
-        keys = list(held)
-        batch = _batch({"lang": [k[0] for k in keys], "block": [k[1] for k in keys], "term": [k[2].decode() for k in keys], "docs": list(held.values())}, kinds)
+    import zstandard
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    task, number = f"{context.stageId()}-{context.partitionId()}", 0
+    packed = zstandard.ZstdCompressor(level=1).compress
+    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+    names = [c.split()[0] for c in BLOCKS.split(", ")]
+    of, size, held, docs = None, 0, [], Counter()
+
+    def rows(terms, counts, texts):
+        n = max(len(terms), len(texts))
+        none = [None] * n
+        columns = [[f"{task}-{number}"] * n, [of[0]] * n, [of[1]] * n, terms or none, counts or none, texts or none]
+        return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    def piece():
+        whole = packed(b" " + b" ".join(held) + b" ")
         held.clear()
-        return batch
+        return rows([], [], [whole])
 
     for batch in batches:
-        for lang, block, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "block", "text")), strict=True):
-            held.update((lang, block, term) for term in set(_plain(text).split()))
-            if len(held) > HELD:
-                yield out()
+        for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
+            if of != (lang, source) or size > most:
+                if held:
+                    yield piece()
+                if docs:
+                    yield rows([t.decode() for t in docs], list(docs.values()), [])
+                of, size, number = (lang, source), 0, number + 1
+                docs.clear()
+            terms = _plain(text).split()
+            docs.update(set(terms))
+            held.append(b" ".join(terms))
+            size += len(held[-1]) + 1
+            if size // PIECE > (size - len(held[-1]) - 1) // PIECE:
+                yield piece()
     if held:
-        yield out()
+        yield piece()
+    if docs:
+        yield rows([t.decode() for t in docs], list(docs.values()), [])
+
+
+POSTING = "lang string, source string, term string, count long"
 
 
 def _recount(batches: Iterator) -> Iterator:
-    """Pass two: rows (lang, block, source, text) come by block, kept terms (source null) first. Gives (lang, source, term, count)."""
+    """Pass two: rows (block, lang, source, term, text) come by block, kept terms first, then pieces of its text. Gives POSTING."""
     import ahocorasick
     import pyarrow as pa
+    import zstandard
 
-    kinds = {"lang": pa.string(), "source": pa.string(), "term": pa.string(), "count": pa.int64()}
-    at, automaton, terms = None, None, []
+    unpacked = zstandard.ZstdDecompressor().decompress
+    at, of, automaton, terms = None, None, None, []
     counts: Counter = Counter()
-    of = None  # the language and source of counts
 
     def out():
-        batch = _batch({"lang": [of[0]] * len(counts), "source": [of[1]] * len(counts), "term": [terms[k] for k in counts], "count": list(counts.values())}, kinds)
+        batch = pa.RecordBatch.from_pydict({"lang": [of[0]] * len(counts), "source": [of[1]] * len(counts), "term": [terms[k] for k in counts], "count": pa.array(list(counts.values()), pa.int64())})
         counts.clear()
         return batch
 
     for batch in batches:
-        for lang, block, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "block", "source", "text")), strict=True):
-            if (lang, block) != at:
+        for block, lang, source, term, text in zip(*(batch.column(c).to_pylist() for c in ("block", "lang", "source", "term", "text")), strict=True):
+            if block != at:
                 if counts:
                     yield out()
-                at, automaton, terms, of = (lang, block), None, [], None
-            if source is None:
-                terms.append(text)
+                at, of, automaton, terms = block, (lang, source), None, []
+            if term is not None:
+                terms.append(term)
                 continue
-            if automaton is None:
+            if automaton is None and terms:
                 automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-                for k, term in enumerate(terms):
-                    automaton.add_word(f" {term} ", k)
+                for k, word in enumerate(terms):
+                    automaton.add_word(f" {word} ", k)
                 automaton.make_automaton()
-            if not terms:
-                continue
-            if of != (lang, source):
-                if counts:
-                    yield out()
-                of = (lang, source)
-            counts.update(map(itemgetter(1), automaton.iter(f" {_plain(text).decode('utf-8', 'surrogatepass')} ")))
+            if automaton is not None:
+                counts.update(map(itemgetter(1), automaton.iter(unpacked(text).decode())))
     if counts:
         yield out()
 
 
+def _common_terms(batches: Iterator) -> Iterator:
+    """(g, s, value): corrections for terms that two groups have, from rows (lang, term, g, p, p0) sorted by lang and term."""
+    import pyarrow as pa
+
+    f = lambda p, q: (p - q) * (p - q) // q
+    held: Counter = Counter()
+
+    def settle(rows: dict) -> None:
+        same = np.concatenate((rows["same"], [False]))  # whether the next row has the same term
+        p, p0, g = rows["p"], rows["p0"], rows["g"]
+        a = np.flatnonzero(same)
+        d = 1
+        found = []
+        while len(a):
+            b = a + d
+            for x, y in ((a, b), (b, a)):
+                found.append((g[x], g[y], f(p[x], p[y]) - f(p[x], p0[y]) - f(p0[x], p[y]) + f(p0[x], p0[y])))
+            a = a[same[b]]  # the term goes on behind b
+            d += 1
+        if found:
+            x, y, value = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.lexsort((y, x))
+            x, y, value = x[order], y[order], value[order]
+            new = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
+            for pair, total in zip(zip(x[new].tolist(), y[new].tolist(), strict=True), np.add.reduceat(value, new).tolist(), strict=True):
+                held[pair] += total
+
+    def out():
+        g, s = zip(*held, strict=True)
+        batch = pa.RecordBatch.from_pydict({"g": pa.array(g, pa.int64()), "s": pa.array(s, pa.int64()), "value": pa.array(list(held.values()), pa.int64())})
+        held.clear()
+        return batch
+
+    rest = None
+    for batch in batches:
+        whole = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        whole = whole.combine_chunks()
+        n = whole.num_rows
+        if not n:
+            continue
+        agree = [np.array([], dtype=bool)] if n == 1 else [whole.column(c).combine_chunks() for c in ("lang", "term")]
+        same = agree[0] if n == 1 else np.logical_and(*(c.slice(1).to_numpy(zero_copy_only=False) == c.slice(0, n - 1).to_numpy(zero_copy_only=False) for c in agree))
+        cut = int(np.flatnonzero(~same)[-1]) + 1 if (~same).any() else 0  # the last term may go on in the next batch
+        settle({"same": same[: max(cut - 1, 0)], **{c: whole.column(c).to_numpy()[:cut] for c in ("g", "p", "p0")}})
+        rest = whole.slice(cut)
+        if len(held) > HELD:
+            yield out()
+    if rest is not None and rest.num_rows:
+        settle({"same": np.ones(rest.num_rows - 1, dtype=bool), **{c: rest.column(c).to_numpy() for c in ("g", "p", "p0")}})
+    if held:
+        yield out()
+
+
 def _empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
 def postings(docs: DataFrame, folder: str, least: int = LEAST, block: int = BLOCK) -> DataFrame:
     """(lang, term, source, count) of all kept terms, counted by the automata of blocks; count > 0."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     rows = docs.select(_empty("lang").alias("lang"), _empty("source").alias("source"), _empty("text").alias("text"), F.col("doc_id"))
-    blocks = max(1, -(-(rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0) // block))
-    rows = rows.select("lang", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), "source", "text")
-    seen = written(rows.select("lang", "block", "text").mapInArrow(_terms_of_blocks, "lang string, block long, term string, docs long")
-                   .groupBy("lang", "term", "block").agg(F.sum("docs").alias("docs")), f"{folder}/seen")
-    kept = seen.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least).select("lang", "term")
-    wanted = seen.join(kept, ["lang", "term"]).select("lang", "block", F.lit(None).cast("string").alias("source"), F.col("term").alias("text"))
-    sides = wanted.unionByName(rows).repartition("lang", "block").sortWithinPartitions("lang", "block", F.col("source").asc_nulls_first())
-    return sides.mapInArrow(_recount, "lang string, source string, term string, count long").groupBy("lang", "term", "source").agg(F.sum("count").alias("count"))
+    dealt = rows.withColumn("h", F.xxhash64("doc_id", "text")).drop("doc_id").repartitionByRange("lang", "source", "h").sortWithinPartitions("lang", "source")
+    blocks = written(dealt.select("lang", "source", "text").mapInArrow(partial(_blocks, most=block), BLOCKS), f"{folder}/blocks")
+    everywhere = Window.partitionBy("lang", "term")
+    terms = blocks.filter("term is not null").withColumn("docs", F.sum("docs").over(everywhere)).filter(F.col("docs") >= least)
+    columns = ["block", "lang", "source", "term", "text"]
+    sides = terms.select(columns).unionByName(blocks.filter("text is not null").select(columns))
+    return sides.repartition("block").sortWithinPartitions("block", F.col("term").asc_nulls_last()).mapInArrow(_recount, POSTING).groupBy("lang", "term", "source").agg(F.sum("count").alias("count"))
 
 
 def _p(count, n, v) -> Column:
@@ -148,32 +221,32 @@ def _f(p, q) -> Column:
 
 def divergence(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     """lang, source, part ('pair' or 'term'), item, value and rank of every group."""
-    spark = docs.sparkSession
-    folder = shared_folder(spark, "divergence")
+    folder = shared_folder(docs.sparkSession, "divergence")
     counts = written(postings(docs, folder, least), f"{folder}/postings")
     zero = F.lit(0).cast("long")
     size = counts.groupBy("lang", "term").agg(F.sum("count").alias("count")).groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("count").alias("n_lang"))
     own = counts.groupBy("lang", "source").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("terms"))
     occurring = docs.select(_empty("lang").alias("lang"), _empty("source").alias("source")).distinct()
     groups = written(occurring.join(own, ["lang", "source"], "left").join(size, "lang", "left").select(
-        "lang", "source", *[F.coalesce(c, zero).alias(c) for c in ("n", "terms", "v", "n_lang")]).withColumn("p0", _p(zero, F.col("n"), F.col("v"))), f"{folder}/groups")
+        F.monotonically_increasing_id().alias("g"), "lang", "source", *[F.coalesce(c, zero).alias(c) for c in ("n", "terms", "v", "n_lang")])
+        .withColumn("p0", _p(zero, F.col("n"), F.col("v"))), f"{folder}/groups")
     small = F.broadcast if groups.count() <= BROADCAST_GROUPS else lambda df: df
     sized = counts.join(small(groups), ["lang", "source"]).withColumn("p", _p(F.col("count"), F.col("n"), F.col("v")))
 
     # the terms of a group by how often it has them, against p(0) of the other sources
-    shares = sized.groupBy("lang", "source", "p").agg(F.count(F.lit(1)).alias("like"))
-    other = groups.select("lang", F.col("source").alias("item"), F.col("p0").alias("q0"), F.col("terms").alias("other_terms"))
-    apart = F.col("source") != F.col("item")
-    alone = shares.join(small(other), "lang").filter(apart)
-    first = alone.groupBy("lang", "source", "item").agg(F.sum(F.col("like") * _f(F.col("p"), F.col("q0"))).alias("value"))
-    second = alone.groupBy("lang", F.col("item").alias("source"), F.col("source").alias("item")).agg(F.sum(F.col("like") * _f(F.col("q0"), F.col("p"))).alias("value"))
+    shares = sized.groupBy("g", "lang", "p").agg(F.count(F.lit(1)).alias("like"))
+    other = groups.select("lang", F.col("g").alias("s"), F.col("p0").alias("q0"), F.col("terms").alias("other_terms"))
+    apart = F.col("g") != F.col("s")
+    alone = shares.join(small(other), "lang").filter(apart).groupBy("g", "s").agg(
+        F.sum(F.col("like") * _f(F.col("p"), F.col("q0"))).alias("to"), F.sum(F.col("like") * _f(F.col("q0"), F.col("p"))).alias("from"))
+    first, second = alone.select("g", "s", F.col("to").alias("value")), alone.select(F.col("s").alias("g"), F.col("g").alias("s"), F.col("from").alias("value"))
     neither = groups.join(small(other), "lang").filter(apart).select(
-        "lang", "source", "item", ((F.col("v") - F.col("terms") - F.col("other_terms")) * _f(F.col("p0"), F.col("q0"))).alias("value"))
-    left = sized.select("lang", "term", "source", "p", "p0")
-    right = sized.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"), F.col("p0").alias("q0"))
-    both = left.join(right, ["lang", "term"]).filter(apart).groupBy("lang", "source", "item").agg(F.sum(
-        _f(F.col("p"), F.col("q")) - _f(F.col("p"), F.col("q0")) - _f(F.col("p0"), F.col("q")) + _f(F.col("p0"), F.col("q0"))).alias("value"))
-    pairs = first.unionByName(second).unionByName(neither).unionByName(both).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+        "g", "s", ((F.col("v") - F.col("terms") - F.col("other_terms")) * _f(F.col("p0"), F.col("q0"))).alias("value"))
+    both = (sized.select("lang", "term", "g", "p", "p0").repartition("lang", "term").sortWithinPartitions("lang", "term")
+            .mapInArrow(_common_terms, "g long, s long, value long"))
+    name = groups.select("g", "lang", "source")
+    pairs = (first.unionByName(second).unionByName(neither).unionByName(both).groupBy("g", "s").agg(F.sum("value").alias("value"))
+             .join(small(name), "g").join(small(name.select(F.col("g").alias("s"), F.col("source").alias("item"))), "s").select("lang", "source", "item", "value"))
 
     of_lang = counts.groupBy("lang", "term").agg(F.sum("count").alias("count_lang"))
     terms = (sized.join(of_lang, ["lang", "term"]).withColumn("q", _p(F.col("count_lang"), F.col("n_lang"), F.col("v"))).filter(F.col("p") > F.col("q"))

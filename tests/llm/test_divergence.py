@@ -54,7 +54,7 @@ def some(seed, n=60):
             for k in range(n)]
 
 
-@pytest.mark.parametrize("block", [40, 8_000_000])
+@pytest.mark.parametrize("block", [40, 16_000_000])
 def test_small_blocks_and_one(spark, monkeypatch, block):
     monkeypatch.setattr(dv.postings, "__defaults__", (3, block))
     rows = some(block)
