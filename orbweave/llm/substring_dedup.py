@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from orbweave.llm.bloom import needed
 from orbweave.llm.common import WORD, remove, shared_folder, small_batches, written
-from orbweave.llm.textops import PIECE, TABLE, U, column_bytes, mix, pieces, powers, words
+from orbweave.llm.textops import PIECE, TABLE, Exact, Rolling, U, column_bytes, mix, pieces, words
 
 
 @dataclass(frozen=True)
@@ -57,17 +57,6 @@ SAMPLED, MANY = 64, 5000
 SALTS = 256
 
 
-class Hashes:
-    """Hashes of any windows of a sequence of 64-bit tokens, as differences of running sums."""
-
-    def __init__(self, values: np.ndarray):
-        self.sums = np.zeros(len(values) + 1, dtype=U)
-        np.cumsum(values * powers(len(values)), out=self.sums[1:])
-
-    def windows(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * powers(len(self.sums), inverse=True)[starts])
-
-
 def tokens(column, unit: Unit) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of all texts of an Arrow column end to end (bytes as they are, words as hashes), and where each text begins."""
     data, offsets = column_bytes(column)
@@ -101,7 +90,7 @@ def runs_of(values: np.ndarray, offsets: np.ndarray, unit: Unit):
     nothing = tuple(np.zeros(0, dtype=d) for d in (np.int64, np.int64, np.int64, np.int64, U, U, np.int64, np.int64, np.int32))
     if len(values) < unit.depth:
         return nothing
-    hashes = Hashes(values)
+    hashes = Rolling(_values(values))
     at = np.arange(len(values) - unit.gram + 1)
     grams = hashes.windows(at, at + unit.gram)
     place = picked(grams, unit.depth - unit.gram + 1)
@@ -119,7 +108,7 @@ def runs_of(values: np.ndarray, offsets: np.ndarray, unit: Unit):
     row = np.repeat(np.arange(len(of)), bands)
     k = band[row] + np.arange(len(row)) - np.repeat(np.cumsum(bands) - bands, bands)
     cores = (hashes.windows(anchor[row] - k * unit.band, anchor[row] + unit.depth - (k + 1) * unit.band) >> U(33)).astype(np.int32)
-    return of, first - offsets[of], last - offsets[of], anchor - offsets[of], grams[anchor], hashes.windows(first, last + unit.depth), band, bands, cores
+    return of, first - offsets[of], last - offsets[of], anchor - offsets[of], grams[anchor], Exact(values, 0).windows(first, last + unit.depth), band, bands, cores
 
 
 def portions(values: np.ndarray, offsets: np.ndarray, unit: Unit) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -164,7 +153,7 @@ def _runs(batches: Iterator, unit: Unit, frequent=None) -> Iterator:
                 fresh[i] = True
         keys = keys[fresh]
         for text, at, part, offsets in portions(*tokens(batch.column(1).filter(pa.array(fresh)), unit), unit):
-            of, first, last, anchor, gram, run, band, bands, cores = runs_of(_values(part), offsets, unit)
+            of, first, last, anchor, gram, run, band, bands, cores = runs_of(part, offsets, unit)
             gram, run = gram.view(np.int64), run.view(np.int64)
             salt = np.where(np.isin(gram, hot), run % SALTS + 1, 0)
             again = _third_and_later(gram, run)
@@ -193,9 +182,8 @@ def _windows(batches: Iterator, unit: Unit) -> Iterator:
                 to = max(to, k + 1)
                 starts = np.concatenate([np.arange(r["low"], r["high"] + 1) for r in spans[k:to]])
                 weight = np.repeat([r["weight"] for r in spans[k:to]], [r["high"] - r["low"] + 1 for r in spans[k:to]])
-                part = _values(text[low : int(starts.max()) + unit.depth])
-                one = Hashes(part).windows(starts - low, starts - low + unit.depth)
-                two = Hashes(mix(part ^ U(0xA0761D6478BD642F))).windows(starts - low, starts - low + unit.depth)
+                part = text[low : int(starts.max()) + unit.depth]
+                one, two = (Exact(part, k).windows(starts - low, starts - low + unit.depth) for k in (0, 1))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(starts), th, dtype=np.int64)), pa.array(starts.astype(np.int32)), pa.array(weight.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
                     names=["th", "start", "weight", "w1", "w2"])

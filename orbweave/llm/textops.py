@@ -1,8 +1,10 @@
-"""Hashing of words, shingles and byte windows of many texts at once, in numpy inside tasks.
+"""Hashing of words, shingles and windows of many texts at once, in numpy inside tasks.
 
-Texts lie end to end in one byte array. A hash of bytes [s, e) is the difference of two running
-sums of table[byte] * R**i (modulo 2**64), moved to a common origin by a power of R's inverse, so
-that any number of windows is hashed in a few passes over arrays. Long inputs are hashed in pieces.
+Texts lie end to end in one array. A window's hash is the difference of two running sums, moved to a common
+origin, so that any number of windows is hashed in a few passes over arrays. There are two kinds: Rolling,
+modulo 2**64, is fast and only deals windows to buckets, as crafted texts can make it collide; Exact,
+modulo the prime 2**61 - 1, is what tells windows apart. A word begins where its hash begins, so its bytes
+are mixed with their place in it and summed up. Long inputs are hashed in pieces.
 """
 
 from __future__ import annotations
@@ -27,11 +29,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 TABLE = mix(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
-_powers: dict[str, np.ndarray] = {}
+#: A Mersenne prime, so that a product is reduced by shifts; and two numbers below it whose powers tell places apart.
+PRIME = (1 << 61) - 1
+BASES = (0x0DE3B1C95A7F2E4B, 0x15F09C6D2B8E4A37)
+_powers: dict = {}
 
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """RATIO**i, or its inverse's, for i < n; kept for the next call."""
+    """RATIO**i, or its inverse's, modulo 2**64 for i < n; kept for the next call."""
     name = "inverse" if inverse else "plain"
     if len(_powers.get(name, ())) < n:
         base = pow(RATIO, -1, 1 << 64) if inverse else RATIO
@@ -41,16 +46,66 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     return _powers[name][:n]
 
 
-class Prefix:
-    """Window hashes over one byte array."""
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & U(PRIME)) + (x >> U(61))
+    return np.where(x >= U(PRIME), x - U(PRIME), x)
 
-    def __init__(self, data: np.ndarray):
-        self.sums = np.zeros(len(data) + 1, dtype=U)
-        np.cumsum(TABLE[data] * powers(len(data)), out=self.sums[1:])
+
+def product(a: np.ndarray, b) -> np.ndarray:
+    """a * b modulo PRIME of numbers below it, by halves of 31 bits."""
+    b = np.asarray(b, dtype=U)
+    half = U((1 << 31) - 1)
+    a1, a0, b1, b0 = a >> U(31), a & half, b >> U(31), b & half
+    middle = a1 * b0 + a0 * b1
+    return _reduced((a1 * b1 << U(1)) + (middle >> U(30)) + ((middle & U((1 << 30) - 1)) << U(31)) + a0 * b0)
+
+
+def prime_powers(base: int, n: int) -> np.ndarray:
+    """base**i modulo PRIME for i < n, by doubling; kept for the next call."""
+    if len(_powers.get(base, ())) < n:
+        found, most = np.ones(1, dtype=U), max(n, PIECE + 65536)
+        while len(found) < most:
+            found = np.concatenate((found, product(found, pow(base, len(found), PRIME))))
+        _powers[base] = found
+    return _powers[base][:n]
+
+
+class Rolling:
+    """Window hashes modulo 2**64 of 64-bit tokens: for buckets, not for equality."""
+
+    def __init__(self, values: np.ndarray):
+        self.sums = np.zeros(len(values) + 1, dtype=U)
+        np.cumsum(values * powers(len(values)), out=self.sums[1:])
+
+    def windows(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * powers(len(self.sums), inverse=True)[starts])
+
+
+class Exact:
+    """Window hashes modulo PRIME of tokens (bytes, or 64-bit hashes of words), with one of the BASES.
+
+    Powers are split in halves of 32 bits, so that running sums of up to 2**23 tokens stay whole numbers
+    below 2**64 and only the windows that are asked for are reduced.
+    """
+
+    def __init__(self, tokens: np.ndarray, which: int):
+        self.inverse = pow(BASES[which], -1, PRIME)
+        at = prime_powers(BASES[which], len(tokens))
+        if tokens.dtype == np.uint8:
+            tokens = tokens.astype(U) + U(1)
+            high, low = tokens * (at >> U(32)), tokens * (at & U(0xFFFFFFFF))
+        else:
+            whole = product(_reduced(tokens), at)
+            high, low = whole >> U(32), whole & U(0xFFFFFFFF)
+        self.high, self.low = np.zeros(len(tokens) + 1, dtype=U), np.zeros(len(tokens) + 1, dtype=U)
+        np.cumsum(high, out=self.high[1:])
+        np.cumsum(low, out=self.low[1:])
 
     def windows(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        origin = powers(len(self.sums), inverse=True)
-        return mix((self.sums[ends] - self.sums[starts]) * origin[starts])
+        high, low = _reduced(self.high[ends] - self.high[starts]), self.low[ends] - self.low[starts]
+        high = ((high << U(32)) & U(PRIME)) + (high >> U(29))  # times 2**32
+        value = product(_reduced(_reduced(high) + _reduced(low)), prime_powers(self.inverse, len(self.high))[starts])
+        return mix(value + mix((ends - starts).astype(U) + U(1)))
 
 
 SPACE = np.zeros(256, dtype=bool)
@@ -90,8 +145,13 @@ def _piece_words(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.n
     edge[-1] = True
     starts = np.flatnonzero(word & (edge[:-1] | np.concatenate(([True], ~word[:-1]))))
     ends = np.flatnonzero(word & (edge[1:] | np.concatenate((~word[1:], [True])))) + 1
-    hashes = Prefix(LOWER[data]).windows(starts, ends)
-    return starts, mix(hashes + (ends - starts).astype(U))
+    if not len(starts):
+        return starts, np.zeros(0, dtype=U)
+    at = int(starts[0])
+    place = np.arange(at, len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
+    sums = np.zeros(len(data) - at + 1, dtype=U)
+    np.cumsum(mix((place.astype(U) << U(8)) + LOWER[data[at:]] + U(1)), out=sums[1:])
+    return starts, mix(sums[ends - at] - sums[starts - at] + mix((ends - starts).astype(U)))
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
