@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbweave.functions import hashing, vectors
-from orbweave.operators import graph, joins, suppression
+from orbweave.operators import graph, intervals, joins, suppression
 from orbweave.plans.table_rules import TableRule, deinit_only_release, evaluate, reachable_release
 
 EXCLUDES = ("/fr/", "page=2", "m.th")
@@ -255,11 +255,12 @@ def local_escape(spark, sf_dir):
 
 
 def innermost_interval(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("begin"))
-    ends = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.to_date(F.max("l_shipdate")).alias("end"))
-    spans = orders.join(ends, "o_orderkey").filter("end >= begin").select(F.col("o_orderkey").alias("span_key"), "o_custkey", F.col("begin").alias("span_begin"), F.col("end").alias("span_end"))
-    inside = orders.join(spans, "o_custkey").filter("span_key <> o_orderkey and begin between span_begin and span_end")
-    return joins.best_match(inside, ["o_orderkey"], F.struct(F.datediff("span_end", "span_begin"), "span_key"), ["span_key"])
+    """The shortest other order of the customer that was open, up to its last shipment, when an order was placed."""
+    day = lambda c: F.unix_date(F.to_date(c))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", day("o_orderdate").alias("begin"))
+    ends = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(day(F.max("l_shipdate")).alias("end"))
+    spans = orders.join(ends, "o_orderkey").select(F.col("o_orderkey").alias("span_key"), "o_custkey", F.col("begin").alias("span_begin"), F.col("end").alias("span_end"))
+    return intervals.innermost(orders, spans, ["o_custkey"], "o_orderkey", "begin", "span_key", "span_begin", "span_end", apart=True)
 
 
 def nearest_within(spark, sf_dir):
