@@ -3,14 +3,16 @@
 The model is fitted from labelled rows: character n-grams of words, hashed, counted by language
 (naive Bayes), and the languages that use each script. At most about SAMPLE documents of a language
 are counted, chosen by a hash of their id. A word's score for a language is the sum of its n-grams'
-log probabilities; languages that do not use the word's script are ruled out, and a word in a script
-that no language uses is no evidence: its letters count for none. The labels of a text
-maximise the sum of scores less a penalty for every switch of language; long texts are solved in
-segments for every entry state at once, which gives the same labels.
-
-Defined results: only letters in a script of the model's languages count; null text, or text without
-such a letter, is `und` with score 0; so is every text where no labelled row has a letter (keep_identified
-then keeps all documents); the prediction is the language with the most letters, ties by name; its score is
+log probabilities; languages that do not use the word's script are no candidates for it, and a word in a
+script that no language uses is no evidence: its letters count for none. The labels of a text
+maximise the sum of scores less a penalty for every switch of language. With few languages long texts are
+solved in segments for every entry state at once, with many texts advance together; both give such labels.
+
+Defined results: letters are the characters of Unicode's categories L; null text, and text without a letter,
+is `und` with score 0; only letters in a script of the model's languages count, and a text with other letters
+alone is the most frequent language (ties by name) with score 0; without any label every text is `und`
+(keep_identified keeps all documents where no labelled row has a letter); the prediction is the language with
+the most letters, ties by name; its score is
 its share of the letters that count; repeated rows get equal predictions; rows with
 a null id are neither held out nor learned from; an empty table gives an empty result.
 """
@@ -18,6 +20,7 @@ a null id are neither held out nor learned from; an empty table gives an empty r
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -33,12 +36,18 @@ UND = "und"
 SAMPLE = 3000
 FEATURE_BITS, LONGEST = 16, 4
 SWITCH = 25.0
-RULED_OUT = -30.0
 SEGMENT = 128
 #: A script belongs to a language that writes at least this share of its letters in it.
 SCRIPT_SHARE = 0.005
-KNOWN_WORDS = 200_000
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Most labels that a model holds; more of them are an error, as each is a column of the model.
+MOST_LANGUAGES = 4096
+#: Up to so many languages long texts are labelled by segments, whose state is the square of that.
+FEW_LANGUAGES = 16
+#: Scores that a task keeps for words it has met, or holds while it scores new ones.
+KEPT_SCORES = 800_000
+#: What \\w has besides letters, decimals and the underscore: numbers such as ½ that are in no category of letters.
+NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isdecimal() and unicodedata.category(c)[0] != "L")
+LETTERS = re.compile(rf"[^\W\d_{re.escape(NUMBERS)}]+")
 #: Last code point of each range, and its script.
 SCRIPTS = (
     (0x24F, "latin"), (0x36F, "other"), (0x3FF, "greek"), (0x52F, "cyrillic"), (0x58F, "armenian"), (0x5FF, "hebrew"),
@@ -53,11 +62,12 @@ RANGE_SCRIPT = np.array([NAMES.index(name) for _, name in SCRIPTS])
 
 @dataclass
 class Model:
-    """languages; log probability by (hashed n-gram, language); script use by (script, language)."""
+    """languages; log probability by (hashed n-gram, language); script use by (script, language); the most frequent language."""
 
     languages: list
     table: np.ndarray
     uses: np.ndarray
+    frequent: int = 0
 
 
 def code_points(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +119,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from rows (doc_id, text, lang); the driver gets counts of hashed n-grams only."""
     small_batches(labelled.sparkSession)
     rows = labelled.filter("lang is not null and text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} different labels; a language model needs the labels of languages")
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((1 << FEATURE_BITS, 0), dtype=np.float32), np.zeros((len(NAMES), 0), dtype=bool))
@@ -123,7 +135,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
         part = counts[counts.kind == kind]
         into[part.key.to_numpy(), part.lang.to_numpy()] = part.n.to_numpy()
     table = np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * len(table)))
-    return Model(languages, table.astype(np.float32), (letters > 0) & (letters >= SCRIPT_SHARE * letters.sum(axis=0)))
+    return Model(languages, table.astype(np.float32), (letters > 0) & (letters >= SCRIPT_SHARE * letters.sum(axis=0)),
+                 max(range(len(languages)), key=lambda k: (sizes[languages[k]], -k)))
 
 
 class Scorer:
@@ -134,34 +147,66 @@ class Scorer:
         self.rows = np.zeros((0, len(model.languages)), dtype=np.float32)
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        numbers = self.numbers
-        if len(numbers) > KNOWN_WORDS:
+        numbers, states = self.numbers, max(1, len(self.model.languages))
+        if len(numbers) * states > KEPT_SCORES:
             numbers.clear()
             self.rows = self.rows[:0]
         new = [w for w in set(words) if w not in numbers]
         if new:
             new.sort()
             numbers.update(zip(new, range(len(numbers), len(numbers) + len(new)), strict=True))
-            self.rows = np.concatenate((self.rows, self._score(new)))
+            each = max(1, KEPT_SCORES // (8 * states))
+            self.rows = np.concatenate((self.rows, *(self._score(new[k : k + each]) for k in range(0, len(new), each))))
         return self.rows[np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words))]
 
     def _score(self, words: list[str]) -> np.ndarray:
+        """Log probabilities below the best one; languages that don't write a word's script are no candidates for it."""
         total = np.zeros((len(words), len(self.model.languages)))
         for keys, of in features(*code_points(words)):
             gained = self.model.table[keys]
             for k in range(total.shape[1]):
                 total[:, k] += np.bincount(of, gained[:, k], len(words))
         used = self.model.uses[scripts(words)]
-        total[~used & used.any(axis=1)[:, None]] += RULED_OUT
-        total[~used.any(axis=1)] = 0
+        evidence = used.any(axis=1)
+        total[~used & evidence[:, None]] = -np.inf
+        total[~evidence] = 0
         return (total - total.max(axis=1)[:, None]).astype(np.float32)
 
 
+def _in_step(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarray:
+    """viterbi() with one state a text: all texts advance together, a word a step, longest first."""
+    order = np.argsort(-counts, kind="stable")
+    order = order[counts[order] > 0]
+    begin = (np.cumsum(counts) - counts)[order]
+    going = np.searchsorted(-counts[order], -np.arange(int(counts.max())), side="left")
+    best, stays, sources = scores[begin].astype(np.float64), [], []
+    for step in range(1, len(going)):
+        live = going[step]
+        top = best[:live].argmax(axis=1)
+        come = best[np.arange(live), top][:, None] - penalty
+        stays.append(best[:live] >= come)
+        sources.append(top.astype(np.int32))
+        best[:live] = np.maximum(best[:live], come) + scores[begin[:live] + step]
+    labels, state = np.zeros(len(scores), dtype=np.int64), best.argmax(axis=1)
+    for step in reversed(range(len(going))):
+        live = going[step]
+        labels[begin[:live] + step] = state[:live]
+        if step:
+            state[:live] = np.where(stays[step - 1][np.arange(live), state[:live]], state[:live], sources[step - 1])
+    return labels
+
+
 def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
-    """The best label of every word of texts that lie end to end; counts: words of each text."""
+    """The best label of every word of texts that lie end to end; counts: words of each text.
+
+    With few languages, texts are cut into segments that advance together, each from every state it may begin in;
+    with many, whole texts do, with one vector of states each.
+    """
     states = scores.shape[1]
     if states == 1 or not len(scores):
         return np.zeros(len(scores), dtype=np.int64)
+    if states > FEW_LANGUAGES:
+        return _in_step(scores, counts, penalty)
     per_text = -(-counts // SEGMENT)
     text = np.repeat(np.arange(len(counts)), per_text)
     number = np.arange(len(text)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
@@ -229,7 +274,7 @@ def label_texts(texts: list, scorer: Scorer):
 
 
 def predict(texts: list, scorer: Scorer) -> tuple[list, np.ndarray]:
-    """(language, share of letters) of each text."""
+    """(language, share of letters) of each text: UND without letters, the most frequent language with share 0 where no letter counts."""
     languages = scorer.model.languages
     if not languages:
         return [UND] * len(texts), np.zeros(len(texts))
@@ -238,7 +283,7 @@ def predict(texts: list, scorer: Scorer) -> tuple[list, np.ndarray]:
     letters = np.bincount(owner * len(languages) + labels, lengths, len(texts) * len(languages)).reshape(len(texts), -1)
     total = letters.sum(axis=1)
     best = letters.argmax(axis=1)
-    names = [languages[b] if t else UND for b, t in zip(best, total, strict=True)]
+    names = [languages[b if t else scorer.model.frequent] if n else UND for b, t, n in zip(best, total, counts, strict=True)]
     return names, np.where(total > 0, letters.max(axis=1) / np.maximum(total, 1), 0.0)
 
 
