@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 #: Bits of one block, a row of 4096 bytes.
 BLOCK = 32768
 BITS_PER_ROW = 16
-#: Bits of the largest filter that says which texts are needed (8 MB); a longer list makes it less sharp.
-NEED_BITS = 1 << 26
+#: Bits of the largest filter that says which texts are needed (64 MB, for a list of 33 million); it is sized by its list, and a longer one makes it less sharp.
+NEED_BITS = 1 << 29
 
 
 def filter_blocks(rows: int) -> int:

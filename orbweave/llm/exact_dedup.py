@@ -1,12 +1,12 @@
 """Exact dedup by two-pass Bloom filtering, in DataFrame functions only.
 
-The first pass hashes every text into a blocked Bloom filter that keeps only bits set
-more than once; the second pass asks that filter about every row. A row of which a bit
-is missing has no equal and passes straight through; the others, which may be repeated,
-are the only rows that shuffle to be grouped, by SHA-256 of the normalised text. The first
-pass shuffles (block, bit) pairs with their counts, never rows. Up to MAX_BITS the filter
-is broadcast; a larger one is joined by its blocks, so that each row meets the one block
-that it needs, and the same few rows are grouped.
+The first pass hashes every text into a blocked Bloom filter that keeps only bits set more than once; it
+shuffles (block, bit) pairs with their counts, never rows. Then the hashes, and nothing else, meet the
+filter's blocks; those of which both bits are set may be repeated, and they make a second filter, as
+small as they are few, which is broadcast. The second pass asks it about every row where it stands. A row
+that it doesn't know has no equal and passes straight through; the others, which may be repeated, are the
+only rows that shuffle to be grouped, by SHA-256 of the normalised text. That is so at every size: beyond
+MAX_BITS the second filter only gets less sharp, so more rows are grouped in vain.
 
 Defined results: texts are equal when identical after lower-casing A-Z only; null text
 counts as empty; the row with the largest doc_id stays (null ids are smallest); of rows
@@ -19,17 +19,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.bloom import asked, build, filter_blocks
+from orbweave.llm.bloom import BLOCK, asked, build, filter_blocks
 from orbweave.llm.common import ascii_lower, attach, cut
 
-#: The filter is broadcast up to this size (64 MB), else joined by block.
+#: Bits of the second filter at most (64 MB): 33 million hashes that may be repeated at its full sharpness.
 MAX_BITS = 1 << 29
 
 
 def flag_repeats(rows: DataFrame, total: int) -> DataFrame:
     """Pass two: rows (with a long column h) with `maybe`, false where h surely occurs once."""
+    hashes = cut(rows.select("h"))
     blocks = filter_blocks(total)
-    return asked(rows, "h", build(rows.select("h"), blocks, least=2), blocks, MAX_BITS)
+    again = cut(asked(hashes, "h", build(hashes, blocks, least=2), blocks, 0).filter("maybe").select("h").distinct())
+    few = max(1, min(filter_blocks(again.count()), MAX_BITS // BLOCK))
+    return asked(rows, "h", build(again, few), few, few * BLOCK)
 
 
 def duplicate_groups(docs: DataFrame) -> DataFrame:
@@ -58,10 +61,7 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns; only possible repeats are grouped.
-
-    Where the filter is too large to be broadcast, rows shuffle once to meet their blocks.
-    """
+    """The rows of docs that stay, with all their columns; only possible repeats are grouped."""
     text = ascii_lower(F.col("text"))
     rows = docs.select(F.xxhash64(text).alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     flagged = flag_repeats(rows, docs.count())
