@@ -316,17 +316,17 @@ def _band():
     return F.floor(F.log(DEN / NUM, F.col("n") + 0.01)).cast("int").alias("band")
 
 
-def _merged(first: DataFrame, links: DataFrame, folder: str) -> DataFrame:
-    """first (class, root) after more links (a, b); classes that are alone are not in first."""
+def _merged(first: DataFrame, links: DataFrame, folder: str, name: str) -> DataFrame:
+    """first (class, root) after more links (a, b), written in folder; classes that are alone are not in first."""
     known = _few(first)
     of = lambda c: known.select(F.col("class").alias(c), F.col("root").alias(f"root_{c}"))
     between = (links.join(of("a"), "a", "left").join(of("b"), "b", "left")
-               .select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
-    moved = connected_components(written(between, f"{folder}/between"), f"{folder}/between-roots")
+               .select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).filter("a <> b").distinct())
+    moved = connected_components(written(between, f"{folder}/{name}-between"), f"{folder}/{name}-between-roots")
     to = _few(moved)
     old = first.join(to.toDF("root", "to"), "root", "left").select("class", F.coalesce("to", "root").alias("root"))
     new = moved.join(known.select(F.col("class").alias("node")), "node", "left_anti").select(F.col("node").alias("class"), "root")
-    return written(old.unionAll(new), f"{folder}/merged")
+    return written(old.unionAll(new), f"{folder}/{name}")
 
 
 def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, str]:
@@ -364,7 +364,10 @@ def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, str]:
                .withColumn("place", F.row_number().over(most)).filter(F.col("place") <= TRIED)
                .groupBy(*_either_way()).agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.*"))
     tried = promising(nearest, holders, f"{folder}/tried")
-    first = connected_components(verify(tried, holders, docs, f"{folder}/first"), f"{folder}/roots").toDF("class", "root")
+    links = verify(tried, holders, docs, f"{folder}/first")
+    # one link a class makes the trees, and of the others those between trees merge them
+    trees = connected_components(links.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), f"{folder}/trees").toDF("class", "root")
+    first = _merged(trees, links, folder, "roots")
 
     # round two: what is left between components, in tiles of a shingle and a size band. Of the component
     # that most holders of a shingle are in, members meet others only, so that a large one is not paired with itself
@@ -384,8 +387,8 @@ def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, str]:
     left = meet(lower, upper.filter("not main_b")).unionAll(meet(lower.filter("not main_a"), upper.filter("main_b"))).distinct()
     fresh = left.select("a", "b", *_either_way()).join(tried.select(*_either_way()), ["low", "high"], "left_anti").select("a", "b")
     rest = promising(fresh, holders, f"{folder}/rest")
-    roots = _merged(first, verify(rest, holders, docs, f"{folder}/second"), folder)
-    for name in ("held", "tried", "first-sent", "first", "roots", "tiles", "rest", "second-sent", "second", "between", "between-roots"):
+    roots = _merged(first, verify(rest, holders, docs, f"{folder}/second"), folder, "merged")
+    for name in ("held", "tried", "first-sent", "first", "trees", "roots-between", "roots-between-roots", "roots", "tiles", "rest", "second-sent", "second", "merged-between", "merged-between-roots"):
         remove(spark, f"{folder}/{name}")
     return rows.select("doc_id", "th", "n", "class"), holders.select("class", "doc_id", "th"), roots, folder
 
