@@ -45,9 +45,10 @@ MOST_LANGUAGES = 4096
 FEW_LANGUAGES = 16
 #: Scores that a task keeps for words it has met, or holds while it scores new ones.
 KEPT_SCORES = 800_000
-#: What \\w has besides letters, decimals and the underscore: numbers such as ½ that are in no category of letters.
-NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isdecimal() and unicodedata.category(c)[0] != "L")
-LETTERS = re.compile(rf"[^\W\d_{re.escape(NUMBERS)}]+")
+#: What LETTERS finds besides letters: numbers such as ½ that are no decimals and in no category of letters (below U+10000; a class of characters beyond is slow).
+NUMBERS = re.compile("[" + "".join(c for c in map(chr, range(0x10000)) if c.isalnum() and not c.isdecimal() and unicodedata.category(c)[0] != "L") + "]")
+WIDE = re.compile("[\U00010000-\U0010FFFF]")
+LETTERS = re.compile(r"[^\W\d_]+")
 #: Last code point of each range, and its script.
 SCRIPTS = (
     (0x24F, "latin"), (0x36F, "other"), (0x3FF, "greek"), (0x52F, "cyrillic"), (0x58F, "armenian"), (0x5FF, "hebrew"),
@@ -70,6 +71,15 @@ class Model:
     frequent: int = 0
 
 
+def letters_only(text: str | None) -> str:
+    """The text with blanks for numbers that LETTERS would take for letters; places stay the same."""
+    if text is None or text.isascii():
+        return text or ""
+    if NUMBERS.search(text):
+        text = NUMBERS.sub(" ", text)
+    return WIDE.sub(lambda m: m[0] if unicodedata.category(m[0])[0] == "L" else " ", text) if WIDE.search(text) else text
+
+
 def code_points(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The words' code points, each word between two spaces, end to end; and where words begin."""
     points = np.frombuffer((" " + "  ".join(words) + " ").encode("utf-32-le"), dtype=np.uint32)
@@ -105,7 +115,7 @@ def _count_features(batches: Iterator, languages: list) -> Iterator:
     letters = np.zeros((len(languages), len(NAMES)), dtype=np.int64)
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = LETTERS.findall((text or "").lower())
+            words = LETTERS.findall(letters_only(text).lower())
             if words:
                 for keys, _ in features(*code_points(words)):
                     grams[at[lang]] += np.bincount(keys, minlength=1 << FEATURE_BITS)
@@ -261,7 +271,7 @@ def label_texts(texts: list, scorer: Scorer):
     """How many words each text has, and the length that counts and the label of every word."""
     counts, flat = [], []
     for text in texts:
-        found = LETTERS.findall((text or "").lower())
+        found = LETTERS.findall(letters_only(text).lower())
         flat.extend(found)
         counts.append(len(found))
     counts = np.array(counts, dtype=np.int64)
@@ -328,7 +338,7 @@ def _keep_rows(batches: Iterator, model, at: int, least: float) -> Iterator:
 
 def spans_of(text: str, model: Model) -> list[tuple[int, int, str]]:
     """(start, end, language) of the maximal spans of a text; labels cover letters that count."""
-    words = [(m.start(), m.end()) for m in LETTERS.finditer(text)]
+    words = [(m.start(), m.end()) for m in LETTERS.finditer(letters_only(text))]
     if not words or not model.languages:
         return []
     lowered = [text[a:b].lower() for a, b in words]
