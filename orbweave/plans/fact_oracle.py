@@ -76,7 +76,6 @@ FILES = "n AS (SELECT 'customer ' || c_custkey AS path, CASE WHEN c_acctbal < -9
 CYCLES = ("combine-sink-self-cycle", "combine-assign-self-cycle", "dispatch-source-cycle", "task-nonterminating-self")
 ANCHORS = ("timer-retains-self", "notification-observer-leak", "urlsession-delegate-leak", "unowned-outlives-owner")
 CONFIGURED = [s.replace("combine-sink-self-cycle' AS rule, " + ENDLESS, "combine-sink-self-cycle' AS rule, 'warning'") for n, s in (FOUND | EXTRA).items() if n != "timer-retains-self"]
-CATALOG = "(VALUES " + ", ".join(f"('{r.id}', '{r.severity}', {str(r.enabled).lower()}, '{r.summary.replace(chr(39), chr(39) * 2)}')" for r in RULES) + ", ('mutual-strong-properties', 'warning', true, 'Types hold each other through members.')) AS v(rule, severity, enabled, summary)"
 
 ORACLE = {
     "rules_cycles": f"WITH {BASE} f AS ({_union(*CYCLES)}) SELECT * FROM f",
@@ -84,9 +83,6 @@ ORACLE = {
     "rules_tokens": f"WITH {BASE} f AS ({_union('unstored-lifetime-token', 'token-stored-in-local')}) SELECT * FROM f",
     "rules_closures": f"WITH {BASE} f AS ({_union('stored-closure-strong-self')}) SELECT * FROM f",
     "rules_configured": f"WITH {BASE} f AS ({' UNION ALL '.join(CONFIGURED)}) SELECT path, type, rule, severity, line, col FROM f",
-    "rule_catalog": f"SELECT * FROM {CATALOG}",
-    "config_effective": f"""SELECT rule, CASE WHEN rule IN ('dead-weak-capture', 'delegate-strong-property') THEN true WHEN rule = 'timer-retains-self' THEN false ELSE enabled END AS enabled,
-  CASE rule WHEN 'delegate-strong-property' THEN 'error' WHEN 'combine-sink-self-cycle' THEN 'warning' ELSE severity END AS severity FROM {CATALOG}""",
     "baseline_round_trip": f"""WITH {BASE} f AS ({_union(*CYCLES)}), p AS (SELECT *, {fnv_hex("concat_ws('|', rule, path, line, col, message)")} AS fingerprint FROM f)
 SELECT path, type, rule, line, col FROM p WHERE fingerprint NOT IN (SELECT fingerprint FROM p WHERE CAST(type AS BIGINT) % 2 = 0)""",
     "report_summary": f"""{EVERY}, {FILES} SELECT count_if(severity = 'error' AND line <> 2) AS errors, count_if(severity = 'warning' AND line <> 2) AS warnings, count_if(line = 2) AS suppressed,
@@ -112,4 +108,11 @@ SELECT CAST(name AS VARCHAR) AS name FROM p WHERE CAST(name AS VARCHAR) NOT IN (
 SELECT l_orderkey, coalesce(string_agg(l_partkey, ',' ORDER BY l_partkey) FILTER (NOT back), '') AS rest FROM d GROUP BY l_orderkey""",
     "newest_time": "SELECT c_custkey, coalesce(max(ts), TIMESTAMP '1970-01-01') AS newest FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY c_custkey",
     "cache_salted": """SELECT doc_id, md5((SELECT string_agg(r_name, ',' ORDER BY r_name) FROM region) || ';' || (SELECT string_agg(n_name, ',' ORDER BY n_name) FROM nation) || ';' || coalesce(text, '')) AS key FROM documents""",
+    "merged_types": """WITH t AS (SELECT CAST(o_custkey AS VARCHAR) AS name, o_orderpriority AS path, CASE WHEN o_orderpriority = '1-URGENT' THEN true WHEN o_orderpriority <> '5-LOW' THEN false END AS ref, o_orderstatus, l_linenumber, l_returnflag
+  FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey)
+SELECT name, bool_or(ref) AS is_reference, count(DISTINCT path) AS files, string_agg(DISTINCT CAST(l_linenumber AS VARCHAR), ',' ORDER BY CAST(l_linenumber AS VARCHAR)) AS members,
+  string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS inherited, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS attributes FROM (SELECT name, path, ref, o_orderstatus, l_linenumber, l_returnflag FROM t) GROUP BY name""",
+    "index_gate": """WITH u AS (SELECT l_orderkey, max(l_shipdate) AS seen FROM lineitem GROUP BY l_orderkey),
+s AS (SELECT count(*) AS stale FROM orders LEFT JOIN u ON l_orderkey = o_orderkey WHERE NOT coalesce(o_orderdate <= seen, false))
+SELECT stale, CASE WHEN stale = 0 THEN (SELECT count(*) FROM supplier) ELSE 0 END AS usable FROM s""",
 }

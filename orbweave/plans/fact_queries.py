@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbweave.operators import external, graph, lifetime_rules, report
+from orbweave.operators import types as type_parts
 from orbweave.operators.store import shared_folder
 from orbweave.plans.queries import event_edges, table
-from orbweave.sources import baseline, cache, config
+from orbweave.sources import baseline, cache, config, files
 from orbweave.streaming import doc_state
 
+#: Names of call kinds, uses, captures and releases of the facts.
 KINDS = ("timer_block", "timer_target", "display_link", "block_observer", "sink", "assign_on", "key_path_observer", "periodic_observer", "session_delegate",
          "dispatch_handler", "user_token", "user_sink")
 USES = ("discarded", "self_member", "local_only", "local_escaping", "store_in", "store_in_captured_local", "returned", "other", "store_in")
@@ -204,7 +206,27 @@ def cache_salted(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.concat(F.lit(cache.salt(defines, contracts)), F.coalesce("text", F.lit("")))).alias("key"))
 
 
+def merged_types(spark, sf_dir):
+    """Customers as types that the orders of each priority, as files, say something about."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.collect_set(F.col("l_linenumber").cast("string")).alias("members"), F.collect_set("l_returnflag").alias("attributes"))
+    kind = F.when(F.col("o_orderpriority") == "1-URGENT", True).when(F.col("o_orderpriority") != "5-LOW", False)
+    types = table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left").select(
+        F.col("o_custkey").cast("string").alias("name"), F.col("o_orderpriority").alias("path"), kind.alias("is_reference"), "members", F.array("o_orderstatus").alias("inherited"), "attributes")
+    merged = type_parts.merge_types(types)
+    return merged.select("name", "is_reference", "files", *[F.array_join(c, ",").alias(c) for c in type_parts.SETS])
+
+
+def index_gate(spark, sf_dir):
+    """Suppliers that a part's index may speak of: all of them, or none if any order is newer than its last line."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"), F.col("o_orderdate").alias("modified"))
+    units = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_shipdate").alias("seen"))
+    stale = files.stale_files(orders, units)
+    gate = files.gated(table(spark, sf_dir, "supplier").select("s_suppkey"), stale).agg(F.count(F.lit(1)).alias("usable"))
+    return stale.agg(F.count(F.lit(1)).alias("stale")).withColumn("k", F.lit(1)).join(gate.withColumn("k", F.lit(1)), "k").drop("k")
+
+
 QUERIES = {f.__name__: f for f in (
-    rules_cycles, rules_anchors, rules_tokens, rules_closures, rules_configured, rule_catalog, config_effective, baseline_round_trip, report_summary, report_lines, report_sarif, doc_state_log,
+    merged_types, index_gate, rules_cycles, rules_anchors, rules_tokens, rules_closures, rules_configured, baseline_round_trip, report_summary, report_lines, report_sarif, doc_state_log,
     findings_by_path, fact_graph_edges, external_upgrade, external_confirmed, expansion_budget, member_difference, newest_time, cache_salted,
 )}

@@ -142,5 +142,3 @@ WHERE n = 1 AND event_type <> 'signup'""",
 }
 
 ORACLE["doc_state_stream"] = ORACLE["doc_state_latest"]
-for _name in ("scc_components", "shortest_cycle_len", "external_expansion"):
-    ORACLE[f"{_name}_all"] = ORACLE[_name]

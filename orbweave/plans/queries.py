@@ -370,4 +370,3 @@ QUERIES = {f.__name__: f for f in (
     upstream_class, upstream_resolve, contract_first_match, local_escape, innermost_interval, nearest_within, stale_rows, summary_counts, max_severity,
     bounded_chain, directive_scan, fact_udtf, snippet_lookup, ngram_embedding, cosine_pairs, mean_pool, leader_clusters, doc_state_latest, doc_state_stream, report_json,
 )}
-QUERIES |= {f"{f.__name__}_all": f for f in (scc_components, shortest_cycle_len, external_expansion)}  # earlier names

@@ -46,3 +46,24 @@ def admit(files: DataFrame, most: int = MOST_BYTES) -> tuple[DataFrame, DataFram
 def from_memory(spark: SparkSession, sources: Sequence[tuple[str, str]]) -> DataFrame:
     """(path, source) of texts at hand."""
     return spark.createDataFrame(list(sources), "path string, source string")
+
+
+def listing(spark: SparkSession, paths: Sequence[str], pattern: str = "*.swift") -> DataFrame:
+    """(path, length, modified) of files, without a look at their content."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(list(paths))
+    return files.select("path", "length", F.col("modificationTime").alias("modified"))
+
+
+def stale_files(files: DataFrame, units: DataFrame) -> DataFrame:
+    """(path) of files (path, modified) that an index does not know, or that changed after it looked at them.
+
+    units (path, seen) may have several rows a path, of which the latest counts; a file whose time is unknown is stale.
+    """
+    latest = units.groupBy("path").agg(F.max("seen").alias("seen"))
+    known = F.coalesce(F.col("modified") <= F.col("seen"), F.lit(False))
+    return files.join(latest, "path", "left").filter(~known).select("path").distinct()
+
+
+def gated(index: DataFrame, stale: DataFrame) -> DataFrame:
+    """The index if nothing is stale, and otherwise none of it: facts of another state of the sources could be wrong."""
+    return index if stale.isEmpty() else index.limit(0)
