@@ -1,6 +1,5 @@
 """SQL for DuckDB that gives the rows of plans.fact_queries: flat joins of line items with their orders."""
 
-from orbweave.operators.lifetime_rules import RULES
 from orbweave.plans.fact_queries import CAPTURES, KINDS, NAMES, RELEASES, USES
 from orbweave.plans.oracle import fnv_hex
 
