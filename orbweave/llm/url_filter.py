@@ -2,9 +2,10 @@
 
 A list is a log of dated entries: a pattern (a host or a domain) was added to or removed from
 the block or the allow list on a day. Entries become validity intervals; a capture is judged by
-the entries active at its fetch time. The as-of join is an equi-join on pattern and month, so a
-host that holds a third of the captures is spread over the months in which it was fetched (and
-Spark splits what is left, as both sides are plain shuffles), followed by the interval test.
+the entries active at its fetch time. The as-of join asks about each pattern and day once, however many
+captures there are of it: days asked about and intervals are sorted together along a pattern, and the last
+interval is carried forward. A pattern has as many rows as days and entries, so a host that holds a third of
+the captures is no large window; its captures then meet the answers by pattern and day, which Spark splits.
 
 Of the active patterns that match, the longest decides; on equal length allow beats block.
 
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orbweave.operators.joins import asof_latest
+
 
 def host_of(url: Column) -> Column:
     """The lower-case host of an http(s) URL; empty where there is none."""
@@ -43,25 +46,23 @@ def intervals(entries: DataFrame) -> DataFrame:
     )
 
 
-def judge(captures: DataFrame, entries: DataFrame, last_day: str | None = None) -> DataFrame:
-    """captures (page_id, url, day) with host, rule, rule_list, rule_since and blocked.
-
-    An interval without an end is dealt to all months up to the last capture's, or last_day's if that is later.
-    """
-    month = lambda c: F.date_trunc("month", c).cast("date")
-    newest = captures.agg(F.max(F.to_date("day"))).first()[0]
-    last = F.greatest(F.lit(last_day).cast("date"), F.lit(newest).cast("date"))  # nulls are skipped
-    end = F.least(F.date_sub("until", 1), last)
-    valid = intervals(entries).filter(F.col("since") <= end).select(
-        "pattern", "list", "since", "until",
-        F.explode(F.sequence(month(F.col("since")), month(end), F.expr("interval 1 month"))).alias("valid_month"))
-    rows = (captures.select(F.monotonically_increasing_id().alias("rid"), "page_id", host_of(F.col("url")).alias("host"), "day")
-            .withColumn("key", F.explode_outer(suffixes(F.col("host")))).withColumn("month", month(F.col("day"))))
-    active = (F.col("key") == F.col("pattern")) & (F.col("month") == F.col("valid_month")) & (F.col("since") <= F.col("day")) & (
-        F.col("until").isNull() | (F.col("day") < F.col("until")))
-    best = F.max(F.when(F.col("pattern").isNotNull(), F.struct(
-        F.length("pattern").alias("size"), (F.col("list") == "allow").alias("allowed"), "since", "pattern"))).alias("best")
-    return rows.join(valid, active, "left").groupBy("rid", "page_id", "host", "day").agg(best).select(
+def active(asked: DataFrame, entries: DataFrame) -> DataFrame:
+    """(key, day, best) of asked (key, day) where an entry is active: size, allowed, since and pattern of the one that decides."""
+    valid = intervals(entries).withColumnRenamed("pattern", "key")
+    # a list's intervals are apart, so the last one that has begun is the only one that can hold
+    each = asked.select("key", F.explode(F.array(F.lit("allow"), F.lit("block"))).alias("list"), F.col("day").alias("at"))
+    last = asof_latest(each, valid.withColumn("at", F.col("since")), ["key", "list"], "at", [], ["since", "until"])
+    holds = F.col("since").isNotNull() & (F.col("until").isNull() | (F.col("at") < F.col("until")))
+    return last.filter(holds).groupBy("key", F.col("at").alias("day")).agg(F.max(F.struct(
+        F.length("key").alias("size"), (F.col("list") == "allow").alias("allowed"), "since", F.col("key").alias("pattern"))).alias("best"))
+
+
+def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
+    """captures (page_id, url, day) with host, rule, rule_list, rule_since and blocked."""
+    rows = (captures.select(F.monotonically_increasing_id().alias("rid"), "page_id", host_of(F.col("url")).alias("host"), F.to_date("day").alias("day"))
+            .withColumn("key", F.explode_outer(suffixes(F.col("host")))))
+    asked = rows.select("key", "day").filter("key is not null and day is not null").distinct()
+    return rows.join(active(asked, entries), ["key", "day"], "left").groupBy("rid", "page_id", "host", "day").agg(F.max("best").alias("best")).select(
         "page_id", "host", "day", F.col("best.pattern").alias("rule"),
         F.when(F.col("best.allowed"), "allow").when(~F.col("best.allowed"), "block").alias("rule_list"),
         F.col("best.since").alias("rule_since"), F.coalesce(~F.col("best.allowed"), F.lit(False)).alias("blocked"))
