@@ -241,14 +241,15 @@ def _findings(rule: Rule, configured: Column) -> Column:
     return F.coalesce(F.transform(items, finding).cast(f"array<{FINDING}>"), F.array().cast(f"array<{FINDING}>"))
 
 
-def check_types(types: DataFrame, overrides: Mapping[str, Mapping] | None = None) -> DataFrame:
+def check_types(types: DataFrame, overrides: Mapping[str, Mapping] | None = None, only: Collection[str] | None = None) -> DataFrame:
     """(path, type, rule, severity, line, col, message, note): every finding of every rule that is on.
 
-    overrides: {rule: {"enabled": bool, "severity": str}}; an unknown rule is an error.
+    overrides: {rule: {"enabled": bool, "severity": str}}; only: rules to look for, of those that are on. An
+    unknown rule is an error. Facts that no rule looked for reads aren't gathered.
     """
     overrides = overrides or {}
-    if unknown := set(overrides) - {r.id for r in RULES} - {GRAPH_RULE[0]}:
+    if unknown := {*overrides, *(only or ())} - {r.id for r in RULES} - {GRAPH_RULE[0]}:
         raise ValueError(f"unknown rules: {sorted(unknown)}")
-    active = [(r, overrides.get(r.id, {})) for r in RULES if overrides.get(r.id, {}).get("enabled", r.enabled)]
+    active = [(r, overrides.get(r.id, {})) for r in RULES if overrides.get(r.id, {}).get("enabled", r.enabled) and (only is None or r.id in only)]
     findings = F.concat(F.array().cast(f"array<{FINDING}>"), *[_findings(r, F.lit(own.get("severity", r.severity))) for r, own in active])
     return types.select("path", F.col("name").alias("type"), F.explode(findings).alias("f")).select("path", "type", "f.*")

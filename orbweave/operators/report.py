@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbweave.functions.hashing import finding_fingerprint
+from orbweave.operators.rank import numbered
 
 SEVERITY_RANK = {"warning": 1, "error": 2}
+#: The order of findings in a report; what follows the rule only settles ties.
+ORDER = ("path", "line", "col", "rule", "message", "severity")
 
 
 def fingerprint() -> Column:
@@ -30,24 +33,51 @@ def finding_json(findings: DataFrame) -> DataFrame:
         F.col("col").alias("column"), fingerprint().alias("fingerprint"), "line", "message", "note", "path", "rule", "severity")).alias("value"))
 
 
+def _sarif_result() -> Column:
+    location = F.struct(F.struct(
+        F.struct(F.col("path").alias("uri")).alias("artifactLocation"), F.struct(F.col("line").alias("startLine"), F.col("col").alias("startColumn")).alias("region")).alias("physicalLocation"))
+    return F.struct(
+        F.col("rule").alias("ruleId"), F.col("severity").alias("level"), F.struct(F.concat_ws(" - ", "message", "note").alias("text")).alias("message"),
+        F.array(location).alias("locations"), F.struct(fingerprint().alias("primary")).alias("partialFingerprints"))
+
+
+def _sarif_tool(rules: list[tuple[str, str]], name: str) -> Column:
+    described = F.array(*[F.struct(F.lit(i).alias("id"), F.struct(F.lit(s).alias("text")).alias("shortDescription")) for i, s in rules])
+    return F.struct(F.struct(F.lit(name).alias("name"), described.alias("rules")).alias("driver"))
+
+
 def sarif(findings: DataFrame, rules: list[tuple[str, str]], name: str = "orbweave") -> DataFrame:
     """(path, value): a SARIF 2.1.0 document for each path with findings, with the run's rules and its results in order.
 
     A document holds the findings of one path, so no task ever gathers those of a whole run.
     """
-    location = F.struct(F.struct(
-        F.struct(F.col("path").alias("uri")).alias("artifactLocation"), F.struct(F.col("line").alias("startLine"), F.col("col").alias("startColumn")).alias("region")).alias("physicalLocation"))
-    result = F.struct(
-        F.col("rule").alias("ruleId"), F.col("severity").alias("level"), F.struct(F.concat_ws(" - ", "message", "note").alias("text")).alias("message"),
-        F.array(location).alias("locations"), F.struct(fingerprint().alias("primary")).alias("partialFingerprints"))
     order = F.struct("line", "col", "rule", "message", "severity")
-    results = (findings.select("path", F.struct(order.alias("order"), result.alias("result")).alias("r")).groupBy("path")
+    results = (findings.select("path", F.struct(order.alias("order"), _sarif_result().alias("result")).alias("r")).groupBy("path")
                .agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["result"]).alias("results")))
-    described = F.array(*[F.struct(F.lit(i).alias("id"), F.struct(F.lit(s).alias("text")).alias("shortDescription")) for i, s in rules])
-    run = F.struct(F.struct(F.struct(F.lit(name).alias("name"), described.alias("rules")).alias("driver")).alias("tool"), F.col("results"))
+    run = F.struct(_sarif_tool(rules, name).alias("tool"), F.col("results"))
     return results.select("path", F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("value"))
 
 
+def sarif_run(findings: DataFrame, rules: list[tuple[str, str]], name: str = "orbweave") -> DataFrame:
+    """(part, value): one SARIF 2.1.0 document with one run; its values in order of part, one after the other, are its text.
+
+    Part 0 opens the document and lists the rules once, the last part closes it, and each part between is a
+    finding. Places come from sorted ranges, so no task sees all findings. Without findings there are two parts.
+    """
+    spark = findings.sparkSession
+    placed = numbered(findings, ORDER, "part").select("part", _sarif_result().alias("r"))
+    comma = F.when(F.col("part") > 1, ",").otherwise("")
+    one = spark.range(1, numPartitions=1)
+    head = one.select(F.lit(0).cast("long").alias("part"), F.concat(F.lit('{"version":"2.1.0","runs":[{"tool":'), F.to_json(_sarif_tool(rules, name)), F.lit(',"results":[')).alias("value"))
+    tail = placed.agg((F.count(F.lit(1)) + 1).alias("part")).select("part", F.lit("]}]}").alias("value"))
+    return head.unionAll(placed.select("part", F.concat(comma, F.to_json("r")).alias("value"))).unionAll(tail)
+
+
+def write_sarif_run(parts: DataFrame, folder: str) -> None:
+    """Write the parts as text files whose lines, in order of the files' names, are the document."""
+    parts.orderBy("part").select("value").write.mode("overwrite").text(folder)
+
+
 def summary(findings: DataFrame) -> DataFrame:
     """errors and warnings."""
     return findings.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))

@@ -16,7 +16,7 @@ from orbweave.plans.queries import event_edges, table
 from orbweave.sources import baseline, cache, config, files
 from orbweave.streaming import doc_state
 
-#: Names of call kinds, uses, captures and releases of the facts.
+#: Names of call kinds, uses, captures, releases and properties of the facts.
 KINDS = ("timer_block", "timer_target", "display_link", "block_observer", "sink", "assign_on", "key_path_observer", "periodic_observer", "session_delegate",
          "dispatch_handler", "user_token", "user_sink")
 USES = ("discarded", "self_member", "local_only", "local_escaping", "store_in", "store_in_captured_local", "returned", "other", "store_in")
@@ -69,24 +69,20 @@ def facts(spark, sf_dir) -> DataFrame:
     return orders.join(lines, "o_orderkey", "left").drop("o_orderkey")
 
 
-def _of(found, rules):
-    return found.filter(F.col("rule").isin(*rules))
-
-
 def rules_cycles(spark, sf_dir):
-    return _of(lifetime_rules.check_types(facts(spark, sf_dir)), CYCLES)
+    return lifetime_rules.check_types(facts(spark, sf_dir), only=CYCLES)
 
 
 def rules_anchors(spark, sf_dir):
-    return _of(lifetime_rules.check_types(facts(spark, sf_dir)), ANCHORS)
+    return lifetime_rules.check_types(facts(spark, sf_dir), only=ANCHORS)
 
 
 def rules_tokens(spark, sf_dir):
-    return _of(lifetime_rules.check_types(facts(spark, sf_dir)), TOKENS)
+    return lifetime_rules.check_types(facts(spark, sf_dir), only=TOKENS)
 
 
 def rules_closures(spark, sf_dir):
-    return _of(lifetime_rules.check_types(facts(spark, sf_dir)), ("stored-closure-strong-self",))
+    return lifetime_rules.check_types(facts(spark, sf_dir), only=("stored-closure-strong-self",))
 
 
 def rules_configured(spark, sf_dir):

@@ -26,7 +26,6 @@ UNION ALL SELECT 'bulk', 'warning', l_orderkey, l_partkey, l_suppkey, l_linenumb
 """
 PRINTED = "SELECT o_orderkey, {} AS fingerprint FROM orders"
 ORDER_PRINT = PRINTED.format(fnv_hex("concat_ws('|', o_orderpriority, o_orderstatus, o_custkey, strftime(o_orderdate, '%Y-%m-%d'))"))
-BASE_PRINT = PRINTED.format(fnv_hex("concat_ws('|', o_orderpriority, o_orderstatus, o_custkey, '1998-01-01')"))
 REFERENCES = """
 r AS (SELECT * FROM (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey) AS dst FROM lineitem) WHERE dst IS NOT NULL),
 k AS (SELECT s_suppkey AS name FROM supplier WHERE s_suppkey % 4 <> 1)
@@ -62,8 +61,8 @@ FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source""",
 FROM f LEFT JOIN a USING (event_id) LEFT JOIN r USING (event_id)""",
     "fingerprint_bytes": f"SELECT doc_id, {fnv_hex("text || 'salt'")} || '-' || strlen(text) AS fingerprint FROM documents",
     "fingerprint_finding": ORDER_PRINT,
-    "baseline_kept": f"WITH p AS ({BASE_PRINT}) SELECT * FROM p WHERE fingerprint NOT IN (SELECT fingerprint FROM p WHERE o_orderkey % 2 = 0)",
-    "baseline_matched": f"WITH p AS ({BASE_PRINT}) SELECT * FROM p WHERE fingerprint IN (SELECT fingerprint FROM p WHERE o_orderkey % 2 = 0)",
+    "baseline_kept": f"WITH p AS ({ORDER_PRINT}) SELECT * FROM p WHERE fingerprint NOT IN (SELECT fingerprint FROM p WHERE o_orderkey % 2 = 0)",
+    "baseline_matched": f"WITH p AS ({ORDER_PRINT}) SELECT * FROM p WHERE fingerprint IN (SELECT fingerprint FROM p WHERE o_orderkey % 2 = 0)",
     "cache_probe": """
 WITH d AS (SELECT doc_id AS path, md5(text) AS fingerprint, source FROM documents),
 s AS (SELECT path, CASE WHEN path % 10 = 0 THEN md5(fingerprint || 'edited') ELSE fingerprint END AS fingerprint, length(source) AS facts FROM d WHERE path % 7 <> 0)
