@@ -62,6 +62,15 @@ def test_components(spark, monkeypatch):
         assert found == brute_force(rows)
 
 
+def test_nothing_small_enough_to_broadcast_or_to_carry(spark, monkeypatch):
+    """Roots are joined by shuffles, and all bitmaps but the shortest are compared outside the tiles."""
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(ngram_join, "SIGNATURE", 1)
+    rows = [(7 * i, t) for i, t in enumerate(made_texts(4))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in component_rows(docs).select("doc_id", "n_shingles", "component_id").collect()) == brute_force(rows)
+
+
 def test_keep_one(spark):
     rows = [(i, t) for i, t in enumerate(made_texts(3))]
     rows += [rows[0], (None, rows[0][1]), (None, "a text of its own with no id")]
