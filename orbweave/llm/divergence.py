@@ -38,6 +38,8 @@ from orbweave.llm.common import shared_folder, small_batches, written
 LEAST = 3
 SCALE = 1_000_000_000
 TOP = 200
+#: Counts up to here, times SCALE, are whole numbers of 64 bits; larger ones take decimals.
+FITS = 9_000_000_000
 #: Bytes of a block, and of one compressed piece of it, at most (a longer document is a piece, or block, of its own).
 BLOCK, PIECE = 16_000_000, 1_000_000
 #: Pairs of groups that a task sums up before it writes.
@@ -53,7 +55,7 @@ def _plain(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").translate(PLAIN)
 
 
-BLOCKS = "block string, lang string, source string, term string, docs long, text binary"
+BLOCKS = "block long, lang string, source string, term string, docs long, text binary"
 
 
 def _blocks(batches: Iterator, most: int) -> Iterator:
@@ -62,18 +64,16 @@ def _blocks(batches: Iterator, most: int) -> Iterator:
     import zstandard
     from pyspark import TaskContext
 
-    context = TaskContext.get()
-    task, number = f"{context.stageId()}-{context.partitionId()}", 0
+    number = TaskContext.get().partitionId() << 32
     packed = zstandard.ZstdCompressor(level=1).compress
-    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()]
     names = [c.split()[0] for c in BLOCKS.split(", ")]
     of, size, held, docs = None, 0, [], Counter()
 
     def rows(terms, counts, texts):
         n = max(len(terms), len(texts))
-        none = [None] * n
-        columns = [[f"{task}-{number}"] * n, [of[0]] * n, [of[1]] * n, terms or none, counts or none, texts or none]
-        return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        same = [pa.repeat(pa.scalar(v, k), n) for v, k in ((number, pa.int64()), (of[0], pa.string()), (of[1], pa.string()))]
+        own = [pa.array(c, k) if c else pa.nulls(n, k) for c, k in ((terms, pa.string()), (counts, pa.int64()), (texts, pa.binary()))]
+        return pa.RecordBatch.from_arrays([*same, *own], names=names)
 
     def piece():
         whole = packed(b" " + b" ".join(held) + b" ")
@@ -120,13 +120,20 @@ def _recount(batches: Iterator) -> Iterator:
         return batch
 
     for batch in batches:
-        for block, lang, source, term, text in zip(*(batch.column(c).to_pylist() for c in ("block", "lang", "source", "term", "text")), strict=True):
-            if block != at:
+        block, lang, source, term, text = (batch.column(c) for c in ("block", "lang", "source", "term", "text"))
+        block = block.to_numpy()
+        cuts = np.flatnonzero(np.diff(block)) + 1
+        for first, last in zip([0, *cuts.tolist()], [*cuts.tolist(), len(block)], strict=True):
+            if first == last:
+                continue
+            if block[first] != at:
                 if counts:
                     yield out()
-                at, of, automaton, terms = block, (lang, source), None, []
-            if term is not None:
-                terms.append(term)
+                at, of, automaton, terms = block[first], (lang[first].as_py(), source[first].as_py()), None, []
+            here = term.slice(first, last - first)
+            behind = last - here.null_count
+            terms += here.slice(0, behind - first).to_pylist()
+            if behind == last:
                 continue
             if automaton is None and terms:
                 automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
@@ -134,7 +141,8 @@ def _recount(batches: Iterator) -> Iterator:
                     automaton.add_word(f" {word} ", k)
                 automaton.make_automaton()
             if automaton is not None:
-                counts.update(map(itemgetter(1), automaton.iter(unpacked(text).decode())))
+                for piece in text.slice(behind, last - behind).to_pylist():
+                    counts.update(map(itemgetter(1), automaton.iter(unpacked(piece).decode())))
     if counts:
         yield out()
 
@@ -197,7 +205,7 @@ def _empty(column: str) -> Column:
 
 
 def postings(docs: DataFrame, folder: str, least: int = LEAST, block: int = BLOCK) -> DataFrame:
-    """(lang, term, source, count) of all kept terms, counted by the automata of blocks; count > 0."""
+    """(lang, term, source, count) of all kept terms, counted by the automata of blocks; count > 0. Dealt by lang and term."""
     small_batches(docs.sparkSession)
     rows = docs.select(_empty("lang").alias("lang"), _empty("source").alias("source"), _empty("text").alias("text"), F.col("doc_id"))
     dealt = rows.withColumn("h", F.xxhash64("doc_id", "text")).drop("doc_id").repartitionByRange("lang", "source", "h").sortWithinPartitions("lang", "source")
@@ -206,13 +214,17 @@ def postings(docs: DataFrame, folder: str, least: int = LEAST, block: int = BLOC
     terms = blocks.filter("term is not null").withColumn("docs", F.sum("docs").over(everywhere)).filter(F.col("docs") >= least)
     columns = ["block", "lang", "source", "term", "text"]
     sides = terms.select(columns).unionByName(blocks.filter("text is not null").select(columns))
-    return sides.repartition("block").sortWithinPartitions("block", F.col("term").asc_nulls_last()).mapInArrow(_recount, POSTING).groupBy("lang", "term", "source").agg(F.sum("count").alias("count"))
+    # one number to sort by: a block's terms, then its text
+    counted = sides.repartition("block").sortWithinPartitions(F.expr("block * 2 + int(text is not null)")).mapInArrow(_recount, POSTING)
+    return counted.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("count").alias("count"))
 
 
 def _p(count, n, v) -> Column:
     """1 + floor(SCALE * (count + 1) / (n + v)); 1 where there are no terms."""
     product = (count + F.lit(1)).cast("decimal(28,0)") * F.lit(SCALE).cast("decimal(10,0)")
-    return F.when(v > 0, F.call_function("div", product, (n + v).cast("decimal(28,0)")) + 1).otherwise(F.lit(1).cast("long"))
+    wide = F.call_function("div", product, (n + v).cast("decimal(28,0)"))
+    fits = F.call_function("div", (count + F.lit(1)) * F.lit(SCALE).cast("long"), n + v)
+    return F.when(v <= 0, F.lit(1).cast("long")).when(count < F.lit(FITS), fits + 1).otherwise(wide + 1)
 
 
 def _f(p, q) -> Column:
@@ -222,9 +234,12 @@ def _f(p, q) -> Column:
 def divergence(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     """lang, source, part ('pair' or 'term'), item, value and rank of every group."""
     folder = shared_folder(docs.sparkSession, "divergence")
-    counts = written(postings(docs, folder, least), f"{folder}/postings")
+    # each posting knows its term's count in the language, and one posting of a term stands for it
+    of_term = Window.partitionBy("lang", "term")
+    counts = written(postings(docs, folder, least).withColumn("stands", F.row_number().over(of_term.orderBy("source")) == 1)
+                     .withColumn("count_lang", F.sum("count").over(of_term)), f"{folder}/postings")
     zero = F.lit(0).cast("long")
-    size = counts.groupBy("lang", "term").agg(F.sum("count").alias("count")).groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("count").alias("n_lang"))
+    size = counts.groupBy("lang").agg(F.count_if("stands").alias("v"), F.sum("count").alias("n_lang"))
     own = counts.groupBy("lang", "source").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("terms"))
     occurring = docs.select(_empty("lang").alias("lang"), _empty("source").alias("source")).distinct()
     groups = written(occurring.join(own, ["lang", "source"], "left").join(size, "lang", "left").select(
@@ -248,8 +263,7 @@ def divergence(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame
     pairs = (first.unionByName(second).unionByName(neither).unionByName(both).groupBy("g", "s").agg(F.sum("value").alias("value"))
              .join(small(name), "g").join(small(name.select(F.col("g").alias("s"), F.col("source").alias("item"))), "s").select("lang", "source", "item", "value"))
 
-    of_lang = counts.groupBy("lang", "term").agg(F.sum("count").alias("count_lang"))
-    terms = (sized.join(of_lang, ["lang", "term"]).withColumn("q", _p(F.col("count_lang"), F.col("n_lang"), F.col("v"))).filter(F.col("p") > F.col("q"))
+    terms = (sized.withColumn("q", _p(F.col("count_lang"), F.col("n_lang"), F.col("v"))).filter(F.col("p") > F.col("q"))
              .select("lang", "source", F.col("term").alias("item"), _f(F.col("p"), F.col("q")).alias("value")))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), F.asc("item"))
     columns = ["lang", "source", "part", "item", "value", "rank"]
