@@ -38,17 +38,22 @@ def innermost(points: DataFrame, spans: DataFrame, keys: Sequence[str], point: s
     key, are left out; spans that end before they begin, or have no name or position, contain nothing.
     """
     spans = spans.filter(F.col(begin) <= F.col(end)).filter(F.col(span).isNotNull())
-    edge = spans.agg(F.min(begin), F.max(end)).first()
-    first, last = edge if edge[0] is not None else (0, 0)
-    levels = max(1, int(last - first + 1).bit_length())
     size = (F.col(end) - F.col(begin)).cast("long")
+    edge = spans.agg(F.min(begin), F.max(end), F.max(size)).first()
+    first, last, longest = edge if edge[0] is not None else (0, 0, 0)
+    top = int(last - first + 1).bit_length()
+    levels = int(longest + 1).bit_length() - 1  # larger cells lie in no span
+    # level and cell as one number, which makes shorter rows to shuffle
+    node = lambda level, cell: _power(F.lit(top) - level) + cell
     place = lambda c: (F.col(c) - F.lit(first)).cast("long")
-    cells = spans.select(*keys, F.col(span).alias("_span"), size.alias("_size"), F.explode(cells_of(place(begin), place(end), levels)).alias("_c")).select(*keys, "_c.level", "_c.cell", "_span", "_size")
-    nearest = Window.partitionBy(*keys, "level", "cell").orderBy("_size", "_span")
+    covered = F.transform(cells_of(place(begin), place(end), levels), lambda c: node(c.level, c.cell))
+    cells = spans.select(*keys, F.col(span).alias("_span"), size.alias("_size"), F.explode(covered).alias("_node"))
+    nearest = Window.partitionBy(*keys, "_node").orderBy("_size", "_span")
     few = cells.withColumn("_k", F.row_number().over(nearest)).filter(F.col("_k") <= (2 if apart else 1)).drop("_k")
-    chain = F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda level: F.struct(level.alias("level"), F.call_function("div", place(at), _power(level)).alias("cell")))
-    asked = points.filter(F.col(at).between(F.lit(first), F.lit(last))).select(*keys, point, F.explode(chain).alias("_c")).select(*keys, "_c.level", "_c.cell", point)
-    found = asked.join(few, [*keys, "level", "cell"])
+    chain = F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda level: node(level, F.call_function("div", place(at), _power(level))))
+    asked = points.filter(F.col(at).between(F.lit(first), F.lit(last))).select(*keys, point, F.explode(chain).alias("_node"))
+    # Spark's estimates leave out that a row explodes to many: without the hint large tables pass for small ones and are broadcast
+    found = asked.hint("merge").join(few, [*keys, "_node"])
     if apart:
         found = found.filter(F.col("_span") != F.col(point))
     return found.groupBy(point).agg(F.min(F.struct("_size", "_span")).alias("_best")).select(point, F.col("_best._span").alias(span))

@@ -259,7 +259,7 @@ def innermost_interval(spark, sf_dir):
     day = lambda c: F.unix_date(F.to_date(c))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", day("o_orderdate").alias("begin"))
     ends = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(day(F.max("l_shipdate")).alias("end"))
-    spans = orders.join(ends, "o_orderkey").select(F.col("o_orderkey").alias("span_key"), "o_custkey", F.col("begin").alias("span_begin"), F.col("end").alias("span_end"))
+    spans = orders.hint("merge").join(ends, "o_orderkey").select(F.col("o_orderkey").alias("span_key"), "o_custkey", F.col("begin").alias("span_begin"), F.col("end").alias("span_end"))
     return intervals.innermost(orders, spans, ["o_custkey"], "o_orderkey", "begin", "span_key", "span_begin", "span_end", apart=True)
 
 
