@@ -30,19 +30,22 @@ def cells_of(begin: Column, end: Column, levels: int) -> Column:
     return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), at)), lambda c: c.isNotNull())
 
 
-def innermost(points: DataFrame, spans: DataFrame, keys: Sequence[str], point: str, at: str, span: str, begin: str, end: str, apart: bool = False) -> DataFrame:
+def innermost(points: DataFrame, spans: DataFrame, keys: Sequence[str], point: str, at: str, span: str, begin: str, end: str, apart: bool = False,
+              bounds: tuple[int, int] | None = None) -> DataFrame:
     """(point, span): for each point (keys, point, at) the shortest of spans (keys, span, begin, end) that contains at.
 
     Positions are integers; keys must agree; of equally short spans the one with the smallest name counts. With
     apart, a point is not inside the span of its own name. Points in no span, and those without a position or a
-    key, are left out; spans that end before they begin, or have no name or position, contain nothing.
+    key, are left out; spans that end before they begin, or have no name or position, contain nothing. All spans
+    lie within bounds, first and last position; where these are not known, a pass over the spans finds them.
     """
     spans = spans.filter(F.col(begin) <= F.col(end)).filter(F.col(span).isNotNull())
     size = (F.col(end) - F.col(begin)).cast("long")
-    edge = spans.agg(F.min(begin), F.max(end), F.max(size)).first()
-    first, last, longest = edge if edge[0] is not None else (0, 0, 0)
+    first, last = bounds or spans.agg(F.min(begin), F.max(end)).first()
+    if first is None:
+        first, last = 0, 0
     top = int(last - first + 1).bit_length()
-    levels = int(longest + 1).bit_length() - 1  # larger cells lie in no span
+    levels = top - 1  # larger cells lie in no span
     # level and cell as one number, which makes shorter rows to shuffle
     node = lambda level, cell: _power(F.lit(top) - level) + cell
     place = lambda c: (F.col(c) - F.lit(first)).cast("long")

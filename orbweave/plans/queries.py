@@ -257,10 +257,12 @@ def local_escape(spark, sf_dir):
 def innermost_interval(spark, sf_dir):
     """The shortest other order of the customer that was open, up to its last shipment, when an order was placed."""
     day = lambda c: F.unix_date(F.to_date(c))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", day("o_orderdate").alias("begin"))
-    ends = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(day(F.max("l_shipdate")).alias("end"))
+    orders, lines = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", day("o_orderdate").alias("begin")), table(spark, sf_dir, "lineitem")
+    ends = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(day(F.max("l_shipdate")).alias("end"))
     spans = orders.hint("merge").join(ends, "o_orderkey").select(F.col("o_orderkey").alias("span_key"), "o_custkey", F.col("begin").alias("span_begin"), F.col("end").alias("span_end"))
-    return intervals.innermost(orders, spans, ["o_custkey"], "o_orderkey", "begin", "span_key", "span_begin", "span_end", apart=True)
+    first, last = orders.agg(F.min("begin")).first()[0], lines.agg(day(F.max("l_shipdate"))).first()[0]
+    bounds = None if first is None or last is None or last < first else (first, last)
+    return intervals.innermost(orders, spans, ["o_custkey"], "o_orderkey", "begin", "span_key", "span_begin", "span_end", apart=True, bounds=bounds)
 
 
 def nearest_within(spark, sf_dir):
